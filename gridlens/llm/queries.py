@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridlens.llm import substring
+from gridlens.llm import substring, wordbpe
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op10_bpe_round_trip": wordbpe.op10_bpe_round_trip,
 }
 
 ORACLE_SQL = {
