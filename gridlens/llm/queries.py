@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from gridlens.llm import substring, wordbpe
+from gridlens.llm import grammar, quality, substring, wordbpe
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op6_token_files": grammar.op6_token_files,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_bpe_round_trip": wordbpe.op10_bpe_round_trip,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": substring.OP1_SQL,
+    "op9_quality_rules": quality.OP9_SQL,
 }
