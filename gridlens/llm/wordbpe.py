@@ -73,7 +73,7 @@ class WordBpe:
         if None in found:
             if len(self.known) > KEPT_WORDS:
                 self.known.clear()
-            self.learn(set(words) - self.known.keys())
+            self.learn({w for w in words if w not in self.known})
             found = list(map(self.known.__getitem__, words))
         return b"".join(found)
 
