@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridlens.llm import grammar, quality, substring, wordbpe
+from gridlens.llm import grammar, mixing, quality, substring, wordbpe
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op6_token_files": grammar.op6_token_files,
+    "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_bpe_round_trip": wordbpe.op10_bpe_round_trip,
 }
