@@ -3,7 +3,7 @@
 A text is a tree of halves. Where a cut falls on a separator both sides are right as
 they stand, because this tokenizer's normaliser and splitter never look across one; so
 the tree's leaves are words, and each different word is encoded once by the tokenizers
-library itself and kept. A run without a separator that is longer than ``LEAF`` bytes is
+library itself and kept under a 64-bit hash. A run without a separator that is longer than ``LEAF`` bytes is
 split by the library's own normaliser and splitter; a piece of it that is still longer is
 halved down to leaves, the leaves are merged independently of each other, and each join
 is mended: the tokens around it are encoded again as one window, which grows until its
@@ -20,6 +20,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +34,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes of a run without a separator from which it is cut, and symbols of a leaf.
 LEAF = 1024
 #: Words that a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 2_000_000
 _encoders: dict[tuple[str, int], WordBpe] = {}
 
 
@@ -53,38 +54,99 @@ class WordBpe:
         self.tok.no_padding()
         self.leaf = leaf
         self.path = path
-        self.known: dict[bytes, bytes] = {}
         self._merges: dict[tuple[int, int], tuple[int, int]] | None = None
         self._names: list[bytes] | None = None
         added = self.tok.get_added_tokens_decoder()
         self.added = {t.content: i for i, t in added.items()}
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")")
+        self.forget()
 
     # -- encoding ---------------------------------------------------------------
 
+    def forget(self) -> None:
+        """No words known. Known ones: hash, and the range of their ids in ``pool``; ``slots`` is an open-addressed table of their numbers."""
+        self.n = 0
+        self.keys = np.zeros(1 << 12, np.uint64)
+        self.at = np.zeros((1 << 12) + 1, np.int64)
+        self.pool = np.zeros(1 << 14, np.uint32)
+        self.slots = np.full(1 << 14, -1, np.int32)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        data = self.lowered(data, off)
+        starts, ends, first = K.words(data, off)
+        hashes = K.word_hashes(data, starts, ends)
+        found = self.find(hashes)
+        if len(missing := np.flatnonzero(found < 0)):
+            if self.n > KEPT_WORDS:
+                self.forget()
+                missing = np.arange(len(hashes))
+            _, one = np.unique(hashes[missing], return_index=True)
+            one = missing[one]
+            body = data.tobytes()
+            self.learn(hashes[one], [body[a:b] for a, b in zip(starts[one], ends[one], strict=True)])
+            found[missing] = self.find(hashes[missing])
+        size = self.at[found + 1] - self.at[found]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.arange(edge[-1]) + np.repeat(self.at[found] - edge[:-1], size)].astype("<u4").tobytes()
+        cuts = 4 * edge[first]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def ids(self, text: bytes) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        # Lower case is what the normaliser makes of ASCII letters anyway; not before
-        # combining marks, nor where it could spell a special token.
-        if b"<|" not in text and (text.isascii() or max(text) < 0xCC):
-            text = text.lower()
-        words = text.split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            self.learn({w for w in words if w not in self.known})
-            found = list(map(self.known.__getitem__, words))
-        return b"".join(found)
-
-    def learn(self, words: set[bytes]) -> None:
-        short = [w for w in words if len(w) <= self.leaf]
-        texts = [w.decode("utf-8", "replace") for w in short]
-        for w, e in zip(short, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for w in words:
-            if len(w) > self.leaf:
-                self.known[w] = np.array(self.long(w.decode("utf-8", "replace")), "<u4").tobytes()
+        return self.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64))[0]
+
+    @staticmethod
+    def lowered(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Lower case is what the normaliser makes of ASCII letters anyway, so fewer words differ; not in texts with combining marks or with what could spell a special token."""
+        odd = data >= 0xCC
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        plain = np.diff(np.concatenate([[0], np.cumsum(odd)])[off]) == 0
+        upper = (data >= 0x41) & (data <= 0x5A) & np.repeat(plain, np.diff(off))
+        return data + (upper.view(np.uint8) << 5)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words; -1 of those not known."""
+        mask = len(self.slots) - 1
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        out = self.slots[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != hashes))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & mask
+            out[todo] = self.slots[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[out[todo]] != hashes[todo])]
+        return out
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Encodes words by the library, long ones by the tree, and keeps the ids."""
+        found: list[list[int]] = []
+        for lo in range(0, len(words), 2000):
+            some = [w.decode("utf-8", "replace") for w in words[lo : lo + 2000]]
+            done = iter(self.tok.encode_batch_fast([w for w in some if len(w) <= self.leaf], add_special_tokens=False))
+            found += [next(done).ids if len(w) <= self.leaf else self.long(w) for w in some]
+        new = len(words)
+        self.keys = _grown(self.keys, self.n + new)
+        self.at = _grown(self.at, self.n + new + 1)
+        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+        begin = self.at[self.n]
+        self.pool = _grown(self.pool, begin + len(ids))
+        self.pool[begin : begin + len(ids)] = ids
+        self.keys[self.n : self.n + new] = hashes
+        self.at[self.n + 1 : self.n + new + 1] = begin + np.cumsum(np.fromiter(map(len, found), np.int64, new))
+        self.n += new
+        if 3 * self.n > len(self.slots):
+            self.slots = np.full(1 << (4 * self.n).bit_length(), -1, np.int32)
+            self.place(np.arange(self.n))
+        else:
+            self.place(np.arange(self.n - new, self.n))
+
+    def place(self, numbers: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        slot = (self.keys[numbers] & np.uint64(mask)).astype(np.int64)
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]
+            lost = self.slots[slot] != numbers
+            numbers, slot = numbers[lost], (slot[lost] + 1) & mask
 
     def long(self, run: str) -> list[int]:
         """Ids of a long run without separators."""
@@ -181,12 +243,19 @@ class WordBpe:
         return b" ".join(map(names.__getitem__, ids.tolist()))
 
 
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 def token_batches(batch: pa.RecordBatch, column: str, bpe: WordBpe) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch of bounded size with the ids of each text."""
     data, off = K.buffers(batch[column])
-    body = data.tobytes()
-    for lo, hi in K.slices(off, 2 << 20):
-        yield batch.slice(lo, hi - lo), [bpe.ids(body[off[d] : off[d + 1]]) for d in range(lo, hi)]
+    for lo, hi in K.slices(off):
+        yield batch.slice(lo, hi - lo), bpe.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
 
 
 def round_trip(df: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None, leaf: int = LEAF) -> DataFrame:
