@@ -3,7 +3,7 @@
 Documents are sorted by id and encoded; each task cuts its range into shards of about
 ``SHARD_IDS`` ids. In a shard frequent pairs of neighbouring ids are replaced by new
 ids (nonterminals), round after round, from the most frequent down: a round replaces the
-pairs that occur at least half as often as the most frequent one. A pair never crosses
+pairs that occur at least a quarter as often as the most frequent one. A pair never crosses
 the end of a document, so each document is a range of the compressed sequence.
 
 A file is a Parquet row per shard: part, shard, start (ids before it in its part),
@@ -34,7 +34,7 @@ from gridlens.llm.shared import fresh_path
 
 SHARD_IDS = 1 << 20
 END_ID = 2
-MIN_COUNT = 6
+MIN_COUNT = 12
 _HEAD = struct.Struct("<4sIIQ")
 _HASH_BITS = 20
 
@@ -56,7 +56,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
             slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
         inner = ~last[:-1]
         tally = np.bincount(slot[inner], minlength=1 << _HASH_BITS)
-        floor = max(min_count, int(tally.max()) // 2)
+        floor = max(min_count, int(tally.max()) // 4)
         chosen = np.zeros(0, np.int64)
         while not len(chosen):
             at = np.flatnonzero(inner & (tally[slot] >= floor))
