@@ -28,10 +28,11 @@ _REPORT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.
 _ANSWER = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("firsts", pa.binary())])
 
 
-def block_count(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks that hold about ``block_bytes`` of text each; one pass over lengths."""
-    total = df.agg(F.sum(F.octet_length(F.col(_q(text))) + F.lit(16))).first()[0] or 0
-    return max(1, math.ceil(total / block_bytes))
+def block_count(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
+    """Blocks that hold about ``block_bytes`` of text each, and bytes of the longest text; one pass over lengths."""
+    size = F.octet_length(F.col(_q(text)).cast("string"))
+    total, most = df.agg(F.sum(size + F.lit(16)), F.max(size)).first()
+    return max(1, math.ceil((total or 0) / block_bytes)), most or 0
 
 
 def _q(name: str) -> str:

@@ -1,17 +1,18 @@
 """Substring dedup by level-wise doubling.
 
 A window is ``min_words`` consecutive words of one document; it is *repeated* if its
-word sequence also starts anywhere else. Two levels lead there:
+word sequence also starts anywhere else. Levels of doubling length lead there and on:
 
 1. Windows of half the length (rounded up). Of the half windows inside a full window the
    one of least hash stands for it, so equal full windows have equal stand-ins, and only
    about one position in nine is counted at all.
 2. Only full windows whose stand-in is repeated are extended to the full length and
    counted. Those repeated are the result; the words they cover are removed.
-
-Windows of twice that length and more are repeated only where these are, so they can't
-remove another word; ``levels`` = k goes on doubling from ``min_words`` for k steps more, extending
-only windows whose two halves are both repeated, and reports each document's longest.
+3. Windows of twice that length, of four times and so on, until none survives: only a
+   window repeated at one length is extended to the next. They are repeated only inside
+   what step 2 removes, so they tell how long the repeats are (``longest``) and nothing
+   more; so they are followed from one start in ``ANCHORS``, chosen by the window's hash,
+   which equal windows share. No window outlasts the longest text, which bounds the levels.
 
 Counting goes through ``blocks``: a passage that many documents share is one entry a
 block. Keys are 64-bit hashes.
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gridlens.llm import blocks as B, textkit as K
 
 WINDOW = 35
+#: One start in so many is followed beyond the window.
+ANCHORS = 8
 
 
 def _per_slice(texts: pa.ChunkedArray):
@@ -50,18 +53,25 @@ def _stand_ins(sums: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndar
     return least, full, hashes[(most == hashes) & (most > 0)]
 
 
+def _anchors(sums: np.ndarray, room: np.ndarray, min_words: int, length: int) -> np.ndarray:
+    """Starts to follow at a greater length."""
+    hashes = K.windows(sums, min_words)
+    return np.flatnonzero((hashes % np.uint64(ANCHORS) == 0) & (room[: len(hashes)] >= length))
+
+
 def _report(block: int, parts: list[np.ndarray], n: int) -> pa.Table:
     keys, counts, _ = B.tally(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
     return B.report(block, keys, counts, None, n)
 
 
-def repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None, min_words: int = WINDOW, levels: int = 0, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None, min_words: int = WINDOW, levels: int | None = None, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Removes from every text the words covered by a repeated window.
 
     Returns the columns ``keep`` (all but ``text`` by default) and kept_text (kept words
     joined by one space), n_words, n_removed, spans (array of first word and word after
-    the last of each removed run) and longest (length of the longest window found
-    repeated among ``min_words``, twice that and so on; 0 if none). Windows are judged on
+    the last of each removed run) and longest (the greatest of ``min_words``, twice that and so on at which a followed
+    window is still repeated; 0 if no word goes). ``levels`` limits the doublings beyond ``min_words``;
+    None goes on until no window can survive. Windows are judged on
     the input, not on what is left, and the first copy goes like the others.
 
     Null and empty texts have no words: kept_text is "", counts are 0. A text shorter than
@@ -69,7 +79,9 @@ def repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None, mi
     output are replaced by it. An empty table gives an empty result.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    n = B.block_count(df, text, block_bytes)
+    n, most = B.block_count(df, text, block_bytes)
+    bound = max(0, ((most + 1) // 2 // min_words).bit_length() - 1)
+    levels = bound if levels is None else min(levels, bound)
     docs = B.to_blocks(df, text, keep, n)
 
     def halves(table: pa.Table) -> pa.Table:
@@ -94,9 +106,9 @@ def repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None, mi
             found = []
             if len(known):
                 for *_, sums, room in _per_slice(table["text"]):
-                    again = K.member(K.windows(sums, length // 2), known)
-                    wide = K.windows(sums, length)
-                    found.append(wide[again[: len(wide)] & again[length // 2 : length // 2 + len(wide)] & (room[: len(wide)] >= length)])
+                    at = _anchors(sums, room, min_words, length)
+                    again = K.member(K.windows_at(sums, length // 2, at), known)
+                    found.append(K.windows_at(sums, length, at[again]))
             return _report(table["block"][0].as_py() if len(table) else 0, found, n)
 
         return extend
@@ -116,16 +128,20 @@ def repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None, mi
         known, _ = B.sent(answer)
         kept, n_words, n_removed, spans, longest = [], [], [], [], []
         for part, starts, ends, first, sums, room in _per_slice(table["text"]):
-            gone = np.zeros(len(starts), bool)
             best = np.zeros(len(starts), np.int64)
-            for k in range(levels + 1):
+            hashes = K.windows(sums, min_words)
+            marked = np.zeros(len(starts), bool)
+            marked[: len(hashes)] = K.member(hashes, known) & (room[: len(hashes)] >= min_words)
+            best[marked] = min_words
+            gone = K.cover(marked, min_words)
+            at = np.flatnonzero(marked[: len(hashes)] & (hashes % np.uint64(ANCHORS) == 0)) if levels else np.zeros(0, np.int64)
+            for k in range(1, levels + 1):
                 length = min_words << k
-                hashes = K.windows(sums, length)
-                marked = np.zeros(len(starts), bool)
-                marked[: len(hashes)] = K.member(hashes, known) & (room[: len(hashes)] >= length)
-                if k == 0:
-                    gone = K.cover(marked, length)
-                best[marked] = length
+                at = at[room[at] >= length]
+                at = at[K.member(K.windows_at(sums, length, at), known)]
+                if not len(at):
+                    break
+                best[at] = length
             body, n_doc = part.tobytes(), np.diff(first)
             total = np.concatenate([[0], np.cumsum(gone)])
             for d in range(len(n_doc)):

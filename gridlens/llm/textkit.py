@@ -150,6 +150,13 @@ def windows(sums: np.ndarray, length: int) -> np.ndarray:
         return mix((sums[length : length + n] - sums[:n]) * inv + U(length))
 
 
+def windows_at(sums: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+    """``windows`` at chosen positions alone."""
+    inv = _pow(_BASE_INV, len(sums))
+    with np.errstate(over="ignore"):
+        return mix((sums[at + length] - sums[at]) * inv[at] + U(length))
+
+
 def room(first: np.ndarray, n_words: int) -> np.ndarray:
     """Words from each word to its document's end, itself included."""
     return np.repeat(first[1:], np.diff(first)) - np.arange(n_words)
