@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridlens.llm import grammar, mixing, quality, substring, wordbpe
+from gridlens.llm import grammar, mixing, quality, secrets, substring, wordbpe
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_token_files": grammar.op6_token_files,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_rules": quality.op9_quality_rules,

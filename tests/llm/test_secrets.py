@@ -1,0 +1,54 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+
+from gridlens.llm import secrets as S
+
+ENC = S.encoding(public_tokenizers.path(S.VOCABULARY))
+PLAIN = [
+    ("assign", re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+]
+
+
+def brute(text):
+    spans = [(m.start(), k, name, m.end()) for k, (name, p, g, least) in enumerate(PLAIN) for m in p.finditer(text or "") if len(m.group(g)) >= least]
+    return ",".join(f"{name}:{a}:{b}" for a, _, name, b in sorted(spans))
+
+
+def found(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return [(S.KINDS[k], a, b) for k, a, b in S.scan(data, np.array([0, len(data)]), ENC)[0]]
+
+
+def test_random_texts():
+    rng = random.Random(5)
+    parts = ["password", "TOKEN", "api_key", "apiKey", "seCret", "=", ":", " ", "  ", '"', "'", "abcdefgh", "AKIA", "AKIAABCDEFGH1234", "0123456789abcdef", "é", "ſecret", "toKen", "日", "\n", "x.y-z=", "Z9"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in found(text) if k != "opaque") == brute(text), text
+
+
+def test_opaque():
+    assert found("é key Zk3vQ9xT7bLw2RnP5sHdJ8 end") == [("opaque", 6, 28)]
+    assert found("token=Zk3vQ9xT7bLw2RnP5sHdJ8") == [("assign", 0, 28)]
+    for clean in ["D41D8CD98F00B204E9800998ECF8427E", "123e4567-e89b-12d3-a456-426614174000", "my_long_variable_name_2024", "internationalization2024", "12345678901234567890123", "src/module/file_name-v2"]:
+        assert found(f"see {clean} here") == [], clean
+
+
+def test_query(spark, sf, documents):
+    rows = {r.doc_id: r for r in S.op5_secret_scan(spark, sf).collect()}
+    for d in documents.collect():
+        r, want = rows[d.doc_id], brute(d.text)
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [want.count(k + ":") for k in ("assign", "access", "hex")]
+        assert ",".join(x for x in r.spans.split(",") if x and not x.startswith("opaque")) == want
+
+
+def test_odd_rows(odd, odd_rows, empty):
+    assert S.find_secrets(odd).count() == len(odd_rows)
+    assert S.find_secrets(empty).collect() == []
