@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlens.llm import grammar, linededup, mixing, neardup, quality, secrets, substring, wordbpe
+from gridlens.llm import grammar, linededup, mixing, neardup, quality, secrets, substring, viterbi, wordbpe
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_token_files": grammar.op6_token_files,
+    "op7_token_counts": viterbi.op7_token_counts,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_bpe_round_trip": wordbpe.op10_bpe_round_trip,

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlens.llm import textkit as K
 from gridlens.llm.blocks import _q, unpack
+from gridlens.llm.memo import Memo, grown
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of a run without a separator from which it is cut, and symbols of a leaf.
@@ -64,28 +65,26 @@ class WordBpe:
     # -- encoding ---------------------------------------------------------------
 
     def forget(self) -> None:
-        """No words known. Known ones: hash, and the range of their ids in ``pool``; ``slots`` is an open-addressed table of their numbers."""
-        self.n = 0
-        self.keys = np.zeros(1 << 12, np.uint64)
+        """No words known. ``at`` has the range of each known word's ids in ``pool``."""
+        self.known = Memo()
         self.at = np.zeros((1 << 12) + 1, np.int64)
         self.pool = np.zeros(1 << 14, np.uint32)
-        self.slots = np.full(1 << 14, -1, np.int32)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         data = self.lowered(data, off)
         starts, ends, first = K.words(data, off)
         hashes = K.word_hashes(data, starts, ends)
-        found = self.find(hashes)
+        found = self.known.find(hashes)
         if len(missing := np.flatnonzero(found < 0)):
-            if self.n > KEPT_WORDS:
+            if self.known.n > KEPT_WORDS:
                 self.forget()
                 missing = np.arange(len(hashes))
             _, one = np.unique(hashes[missing], return_index=True)
             one = missing[one]
             body = data.tobytes()
             self.learn(hashes[one], [body[a:b] for a, b in zip(starts[one], ends[one], strict=True)])
-            found[missing] = self.find(hashes[missing])
+            found[missing] = self.known.find(hashes[missing])
         size = self.at[found + 1] - self.at[found]
         edge = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.arange(edge[-1]) + np.repeat(self.at[found] - edge[:-1], size)].astype("<u4").tobytes()
@@ -104,18 +103,6 @@ class WordBpe:
         upper = (data >= 0x41) & (data <= 0x5A) & np.repeat(plain, np.diff(off))
         return data + (upper.view(np.uint8) << 5)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words; -1 of those not known."""
-        mask = len(self.slots) - 1
-        slot = (hashes & np.uint64(mask)).astype(np.int64)
-        out = self.slots[slot]
-        todo = np.flatnonzero((out >= 0) & (self.keys[out] != hashes))
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & mask
-            out[todo] = self.slots[slot[todo]]
-            todo = todo[(out[todo] >= 0) & (self.keys[out[todo]] != hashes[todo])]
-        return out
-
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Encodes words by the library, long ones by the tree, and keeps the ids."""
         found: list[list[int]] = []
@@ -123,30 +110,14 @@ class WordBpe:
             some = [w.decode("utf-8", "replace") for w in words[lo : lo + 2000]]
             done = iter(self.tok.encode_batch_fast([w for w in some if len(w) <= self.leaf], add_special_tokens=False))
             found += [next(done).ids if len(w) <= self.leaf else self.long(w) for w in some]
-        new = len(words)
-        self.keys = _grown(self.keys, self.n + new)
-        self.at = _grown(self.at, self.n + new + 1)
+        n, new = self.known.n, len(words)
+        self.at = grown(self.at, n + new + 1)
         ids = np.fromiter(chain.from_iterable(found), np.uint32)
-        begin = self.at[self.n]
-        self.pool = _grown(self.pool, begin + len(ids))
+        begin = self.at[n]
+        self.pool = grown(self.pool, begin + len(ids))
         self.pool[begin : begin + len(ids)] = ids
-        self.keys[self.n : self.n + new] = hashes
-        self.at[self.n + 1 : self.n + new + 1] = begin + np.cumsum(np.fromiter(map(len, found), np.int64, new))
-        self.n += new
-        if 3 * self.n > len(self.slots):
-            self.slots = np.full(1 << (4 * self.n).bit_length(), -1, np.int32)
-            self.place(np.arange(self.n))
-        else:
-            self.place(np.arange(self.n - new, self.n))
-
-    def place(self, numbers: np.ndarray) -> None:
-        mask = len(self.slots) - 1
-        slot = (self.keys[numbers] & np.uint64(mask)).astype(np.int64)
-        while len(numbers):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = numbers[free]
-            lost = self.slots[slot] != numbers
-            numbers, slot = numbers[lost], (slot[lost] + 1) & mask
+        self.at[n + 1 : n + new + 1] = begin + np.cumsum(np.fromiter(map(len, found), np.int64, new))
+        self.known.add(hashes)
 
     def long(self, run: str) -> list[int]:
         """Ids of a long run without separators."""
@@ -243,14 +214,6 @@ class WordBpe:
         return b" ".join(map(names.__getitem__, ids.tolist()))
 
 
-def _grown(x: np.ndarray, n: int) -> np.ndarray:
-    if n <= len(x):
-        return x
-    out = np.zeros(max(n, 2 * len(x)), x.dtype)
-    out[: len(x)] = x
-    return out
-
-
 def token_batches(batch: pa.RecordBatch, column: str, bpe: WordBpe) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch of bounded size with the ids of each text."""
     data, off = K.buffers(batch[column])
