@@ -31,7 +31,7 @@ from gridlens.llm.blocks import _q
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = 20240601
-SHARD_ROWS = 1 << 18
+SHARD_ROWS = 1 << 14
 #: Blocks of the whole mix, and least blocks of the smallest target.
 BLOCKS, LEAST_BLOCKS = 200_000, 64
 MAX_BLOCK = 1024
