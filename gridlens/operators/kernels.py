@@ -399,3 +399,19 @@ def largest_blobs(df: DataFrame, key: str, px: str, width: int, over: int = 128)
     """The largest blob of each image that has one, the first of equals."""
     best = blobs(df, key, px, width, over).groupBy(key).agg(F.min(F.struct((-F.col("area")).alias("low"), "first_pixel", "min_x", "min_y", "max_x", "max_y")).alias("b"))
     return best.select(key, (-F.col("b.low")).alias("area"), *[f"b.{c}" for c in ("min_x", "min_y", "max_x", "max_y")])
+
+
+def map_arrays(df: DataFrame, px: str, width: int, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Every image in an array column through a kernel; null stays null, as does what a kernel gives None for."""
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.IntegerType())) if f.name == px else f for f in df.schema])
+    at = df.columns.index(px)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cell in batch.column(at):
+                made = kernel(np.asarray(cell.values).astype(np.uint8).reshape(-1, width)) if cell.is_valid else None
+                out.append(None if made is None else made.ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())) if k == at else c for k, c in enumerate(batch.columns)], names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -235,6 +235,22 @@ def solve_puzzles(df: DataFrame, key: str = "puzzle_id", grid: str = "grid", mos
     return df.select(key, grid).mapInArrow(run, made)
 
 
+def search_clues(df: DataFrame, key: str = "puzzle_id") -> DataFrame:
+    """key, clues and solution: the clue search over grids whose given cells (``grid``) are ranked with a wrong digit before that of ``solution``."""
+    made = T.StructType([df.schema[key], T.StructField("clues", T.StringType()), T.StructField("solution", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for grid, solved in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                cells = [k for k, c in enumerate(grid) if c not in ".0"]
+                ranked = [(k, [int(solved[k]) % 9 + 1, int(solved[k])] if n < 4 else [int(solved[k])]) for n, k in enumerate(cells)]
+                found.append(find_clues(ranked) or (None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=made.names)
+
+    return df.select(key, "grid", "solution").mapInArrow(run, made)
+
+
 def render(grid: Column) -> Column:
     """Nine lines of digits with spaces, '.' for an empty cell."""
     plain = F.translate(grid, "0", ".")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlens.functions import elementwise as E
-from gridlens.operators import aggregates as A, kernels, metrics as M, puzzle as P, report as R, sampling as S, stencils as X
+from gridlens.operators import aggregates as A, kernels, metrics as M, nn, puzzle as P, report as R, sampling as S, stencils as X
 from gridlens.operators.images import SIDE, images, logits, to_long
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -568,3 +568,67 @@ def solved_cells(spark, d):
 @query("grid_text", f"WITH {_GRIDS} SELECT puzzle_id, array_to_string(list_transform(range(9), lambda r: array_to_string(string_split(substr(grid, CAST(r * 9 + 1 AS BIGINT), 9), ''), ' ')), chr(10)) AS text FROM puzzles")
 def grid_text(spark, d):
     return _puzzles(spark).select("puzzle_id", P.render(F.col("grid")).alias("text"))
+
+
+# -- kernels over arrays ----------------------------------------------------------------
+
+_SOBEL = _NEAR + ", g0 AS (SELECT vec_id, x, y, sum(v * dx * (2 - abs(dy))) AS gx, sum(v * dy * (2 - abs(dx))) AS gy FROM near GROUP BY ALL), g AS (SELECT vec_id, x, y, CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN least(255, trunc(sqrt(CAST(gx * gx + gy * gy AS DOUBLE)))) ELSE 0 END AS v FROM g0)"
+
+
+@query(
+    "canny_edges",
+    f"WITH RECURSIVE {_SOBEL}, edge AS (SELECT vec_id, x, y FROM g WHERE v >= 250 UNION SELECT g.vec_id, g.x, g.y FROM edge e JOIN g ON g.vec_id = e.vec_id AND abs(g.x - e.x) <= 1 AND abs(g.y - e.y) <= 1 WHERE g.v >= 120 AND g.x BETWEEN 1 AND 6 AND g.y BETWEEN 1 AND 6) SELECT vec_id, x, y FROM edge",
+)
+def canny_edges(spark, d):
+    """Pixels of strong gradient, and weak ones that lead to them."""
+    edges = kernels.map_arrays(images(spark, d).select("vec_id", "px"), "px", SIDE, lambda img: kernels.canny(img, 120, 250))
+    return to_long(edges, ["vec_id"], "px").where("v = 255").select("vec_id", "x", "y")
+
+
+@query("warp_shift", f"WITH {_PIX} SELECT a.vec_id, a.x, a.y, CASE WHEN a.x - 1 BETWEEN 0 AND 6 AND a.y - 2 BETWEEN 0 AND 6 THEN b.v ELSE 0 END AS v FROM pix a LEFT JOIN pix b ON a.vec_id = b.vec_id AND b.x = a.x - 1 AND b.y = a.y - 2")
+def warp_shift(spark, d):
+    """Every image under the homography of four corners moved by (1, 2)."""
+    corners = [(0, 0), (7, 0), (7, 7), (0, 7)]
+    h = kernels.homography(corners, [(x + 1, y + 2) for x, y in corners])
+    moved = kernels.map_arrays(images(spark, d).select("vec_id", "px"), "px", SIDE, lambda img: kernels.warp(img, h.round(9), SIDE, SIDE))
+    return to_long(moved, ["vec_id"], "px")
+
+
+@query("label_noise", f"WITH RECURSIVE {_REACH} SELECT vec_id, CAST(sum(v) AS BIGINT) AS mass FROM (SELECT p.vec_id, CASE WHEN l.comp = k.comp THEN v ELSE 0 END AS v FROM pix p LEFT JOIN lab l ON l.vec_id = p.vec_id AND l.i = p.y * 8 + p.x LEFT JOIN k ON k.vec_id = p.vec_id AND k.rn = 1) GROUP BY vec_id")
+def label_noise(spark, d):
+    """What is left of every image when only its largest blob above 128 stays."""
+
+    def largest(img):
+        mask = kernels.largest_mask(img)
+        return img * 0 if mask is None else img * mask
+
+    kept = kernels.map_arrays(images(spark, d).select("vec_id", "px"), "px", SIDE, largest)
+    return kept.select("vec_id", F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("mass"))
+
+
+@query("cnn_predict")
+def cnn_predict(spark, d):
+    """The classifier, with seeded weights, over all vectors as images."""
+    rows = images(spark, d).select("vec_id", "label", E.normalise("px").alias("pixels"))
+    return nn.predict(rows, nn.Model(side=SIDE, kernel=2, maps=(4, 8), hidden=32)).select("vec_id", "label", "predicted", _r(F.array_max("probabilities").cast("double"), 4).alias("top_p"))
+
+
+@query("empty_cells")
+def empty_cells(spark, d):
+    """As many blank samples as a ninth of the vectors."""
+    n = _table(spark, d, "embeddings").count() // 9
+    return S.empty_samples(spark, n, SIDE).select("sample_id", "label", _r(F.array_max("pixels").cast("double"), 4).alias("brightest"))
+
+
+@query("shuffled_batches")
+def shuffled_batches(spark, d):
+    """Vectors in a seeded order, in batches of 32."""
+    dealt = S.batches(_table(spark, d, "embeddings").select("vec_id"), S.seeded_order("vec_id", 1), 32)
+    return dealt.select("vec_id", "position", "batch")
+
+
+@query("clue_search")
+def clue_search(spark, d):
+    """Puzzles read from ranked digits of which the second is right."""
+    solved = P.solve_puzzles(_puzzles(spark, {1, 2})).where("solution IS NOT NULL")
+    return P.search_clues(solved.join(_puzzles(spark), "puzzle_id"))

@@ -142,3 +142,35 @@ def read_puzzle(spark: SparkSession, path: str) -> str:
     if len(rows) != 9:
         raise ValueError(f"{len(rows)} rows of a puzzle")
     return "".join(rows).replace("0", ".")
+
+
+# -- folders of digits ------------------------------------------------------------------
+
+
+def read_digit_folder(spark: SparkSession, path: str, side: int = 28) -> DataFrame:
+    """origin, label (from the name) and pixels 0..1 of side x side, from images named digit_N_label_D.png; others and unreadable ones are left out."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from gridlens.operators import kernels as K
+
+    photos = read_images(spark, path).withColumn("label", label_of(F.col("origin"))).where("label IS NOT NULL")
+    made = T.StructType([T.StructField("origin", T.StringType()), T.StructField("label", T.ShortType()), T.StructField("pixels", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                img = as_array(row)
+                img = K.gray(img) if img.ndim == 3 else img
+                out.append((K.resize(img, side, side) / np.float32(255)).ravel().astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch["origin"], batch["label"], pa.array(out, pa.list_(pa.float32()))], names=made.names)
+
+    return photos.select("origin", "label", "width", "height", "channels", "data").mapInArrow(run, made)
+
+
+def digit_metadata(samples: DataFrame, font: str = "drawn") -> DataFrame:
+    """filename, label and font of every sample, for ``write.csv(header=True)``."""
+    return samples.select(F.element_at(F.split("origin", "/"), -1).alias("filename"), "label", F.lit(font).alias("font"))

@@ -60,7 +60,19 @@ def test_images(spark, tmp_path):
     assert (files.as_array(rows["digit_00012_label_7.png"]) == gray).all()
     assert rows["digit_00012_label_7.png"].label == 7 and rows["a_label_3.png"].label is None
     assert (png.decode_png(draw.png_encode(rgb)) == rgb).all() and png.decode_png(b"x") is None
-    assert len(solver.digit_files(3)) == 3
+
+
+def test_digit_folder(spark, tmp_path):
+    made = solver.digit_files(6)
+    for name, body, _ in made:
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "other.png").write_bytes(made[0][1])
+    df = files.read_digit_folder(spark, str(tmp_path))
+    rows = {r.origin.rsplit("/", 1)[1]: r for r in df.collect()}
+    assert {n: r.label for n, r in rows.items()} == {n: d for n, _, d in made}
+    for name, body, _ in made:
+        assert np.allclose(rows[name].pixels, png.decode_png(body).ravel() / 255, atol=1e-6)
+    assert sorted(r.filename for r in files.digit_metadata(df).collect()) == sorted(rows)
 
 
 def test_parameters(spark, tmp_path):
