@@ -61,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = _stored(stage(spark, docs, sf_dir), name)
+        docs = _stored(stage(spark, docs, sf_dir), name, even=False)
     return STAGES[-1][1](spark, docs, sf_dir)

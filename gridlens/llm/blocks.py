@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from gridlens.llm.shared import bounded_batches
+
 BLOCK_BYTES = 4 << 20
 REPORT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("block", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("firsts", T.BinaryType())])
 ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("firsts", T.BinaryType())])
@@ -45,6 +47,7 @@ def to_blocks(df: DataFrame, text: str, keep: list[str], n: int) -> DataFrame:
     The block is a hash of the kept columns and the text, so that neither copies of one
     text nor rows without an id meet in one block.
     """
+    bounded_batches(df.sparkSession)
     texts = F.col(_q(text)).cast("string")
     row = F.struct(F.lit(0).alias("_"), *[F.col(_q(c)) for c in keep])
     plain = [F.col(_q(c)).cast("string") for c in keep if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlens.llm.blocks import _q
 from gridlens.llm.neardup import _stored
+from gridlens.llm.shared import bounded_batches
 
 RATE, FRAME, HOP = 8000, 2048, 683
 LOW, HIGH = 28.0, 3520.0
@@ -133,6 +134,7 @@ def fingerprints(df: DataFrame, media: str, order: str, decode: Callable = wav_s
 
     A map over batches. Null, unreadable and too short media have no items.
     """
+    bounded_batches(df.sparkSession)
     packed = df.select(F.col(_q(order)).alias("id"), F.col(_q(media)).alias("media"))
     made = T.StructType([T.StructField("id", packed.schema["id"].dataType), T.StructField("items", T.BinaryType()), T.StructField("n_items", T.LongType())])
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gridlens.llm import textkit as K
 from gridlens.llm.blocks import _q
+from gridlens.llm.shared import bounded_batches
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -89,6 +90,7 @@ def sainte_lague(votes: list, seats: int) -> list[int]:
 
 def sized(df: DataFrame, text: str, keep: list[str], carry_text: bool) -> DataFrame:
     """row (the kept columns), text if asked for, size (words) and mark (a hash of the text)."""
+    bounded_batches(df.sparkSession)
     packed = df.select(F.struct(F.lit(0).alias("_"), *[F.col(_q(c)) for c in keep]).alias("row"), F.col(_q(text)).cast("string").alias("text"), F.xxhash64(F.col(_q(text)).cast("string")).alias("mark"))
     body = [T.StructField("text", T.StringType())] if carry_text else []
     made = T.StructType([packed.schema["row"], *body, T.StructField("mark", T.LongType()), T.StructField("size", T.LongType())])

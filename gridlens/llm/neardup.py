@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlens.llm import dart, textkit as K
 from gridlens.llm.blocks import _q
-from gridlens.llm.shared import fresh_path
+from gridlens.llm.shared import bounded_batches, fresh_path
 
 SHINGLE, THRESHOLD = 5, 0.8
 K_DARTS, ROWS = 80, 4
@@ -89,14 +89,16 @@ def _each(texts: pa.Array | pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def _stored(df: DataFrame, name: str, even: bool = True) -> DataFrame:
+    """Written to the shared folder and read again; ``even`` deals rows into few files of like size first, as a file costs more than its rows here."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if even else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def signed(df: DataFrame, text: str, order: str) -> DataFrame:
     """id, mark (a hash of the text), node (null without words), bands and sig (low 16 bits of each dart)."""
+    bounded_batches(df.sparkSession)
     packed = df.select(F.col(_q(order)).alias("id"), F.xxhash64(F.col(_q(text)).cast("string")).alias("mark"), F.col(_q(text)).cast("string").alias("text"))
     made = T.StructType([T.StructField("id", packed.schema["id"].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
@@ -166,9 +168,11 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold:
     texts = _stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [similarity(x, y) >= threshold for x, y in zip(_each(batch["text"]), _each(batch["other"]), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                near = [similarity(x, y) >= threshold for x, y in zip(_each(batch["text"]), _each(batch["other"]), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     link = "a binary, b binary"
     one = pairs.join(texts, "node").select("centre", F.col("node").alias("a"), "text")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridlens.llm import textkit as K
 from gridlens.llm.blocks import _q
-from gridlens.llm.shared import cut_lineage
+from gridlens.llm.shared import bounded_batches, cut_lineage
 
 REPEAT_WORDS = 5
 SYMBOLS = b"#*$%&|<>"
@@ -90,6 +90,7 @@ def measure_texts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns and the six measures, which replace columns of the same name."""
+    bounded_batches(df.sparkSession)
     keep = [c for c in df.columns if c.lower() not in MEASURES]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(m, T.LongType()) for m in MEASURES])
 

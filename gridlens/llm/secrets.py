@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlens.llm import textkit as K
 from gridlens.llm.blocks import _q, unpack
+from gridlens.llm.shared import bounded_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "opaque")
@@ -107,6 +108,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     path = vocabulary or public_tokenizers.path(VOCABULARY)
+    bounded_batches(df.sparkSession)
     packed = df.select(F.struct(F.lit(0).alias("_"), *[F.col(_q(c)) for c in keep]).alias("row"), F.col(_q(text)).cast("string").alias("text"))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     made = T.StructType([packed.schema["row"], T.StructField("secrets", T.ArrayType(span))])

@@ -27,3 +27,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows of an Arrow batch between Spark and Python, at most. Texts are long, and a batch lies in memory three times over.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``; plans read it when they run, so it stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
