@@ -7,17 +7,21 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def positions(df: DataFrame, order: list[Column], name: str = "position", shards: int = 256) -> DataFrame:
-    """A running number from 1 over all rows in the given order, without one task that holds them all.
+def positions(df: DataFrame, order: list[Column], name: str = "position", ranges: int | None = None) -> DataFrame:
+    """A running number from 1 over all rows in the given order, by one shuffle and without one task that holds them all.
 
-    Rows are dealt by ranges of the order; ranges are numbered on their own and then lifted by the
-    sizes of those before, which are one row a range.
+    Rows are dealt by ranges of the order (as many as shuffle partitions, unless told otherwise) and numbered inside
+    their sorted range; ranges are lifted by the sizes of those before, which are one row a range. ``order`` should
+    end in a key, so that ties are settled.
     """
-    dealt = df.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    numbered = dealt.withColumn("_range", F.spark_partition_id()).withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    sizes = numbered.groupBy("_range").agg(F.max("_row").alias("_size"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the id has the partition above 33 bits and the row in it below
+    numbered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("_range", F.shiftright("_at", 33))
+    sizes = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return numbered.join(F.broadcast(before), "_range").withColumn(name, F.col("_row") + F.col("_before")).drop("_range", "_row", "_before")
+    row = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.join(F.broadcast(before), "_range").withColumn(name, row + F.col("_before")).drop("_range", "_at", "_before")
 
 
 def exact_split(df: DataFrame, order: list[Column], share: float) -> DataFrame:
