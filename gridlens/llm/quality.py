@@ -41,7 +41,7 @@ class Limits:
 
 
 BASE = Limits()
-STRICT = Limits(min_words=20, repeat_pct=10, symbol_pct=5, dup_line_pct=30, min_chars=3, max_chars=12)
+STRICT = Limits(repeat_pct=15, symbol_pct=5, dup_line_pct=40, min_chars=3, max_chars=12)
 
 
 def measure_texts(texts: pa.Array) -> dict[str, np.ndarray]:
