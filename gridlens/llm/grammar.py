@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridlens.llm import wordbpe
 from gridlens.llm.blocks import _q, unpack
-from gridlens.llm.shared import fresh_path
+from gridlens.llm.shared import bounded_batches, fresh_path
 
 SHARD_IDS = 1 << 20
 END_ID = 2
-MIN_COUNT = 12
+MIN_COUNT = 24
 _HEAD = struct.Struct("<4sIIQ")
 _HASH_BITS = 20
 
@@ -162,6 +162,7 @@ def write_tokens(df: DataFrame, path: str, text: str = "text", order: str = "doc
     tail = np.array([end_id], "<u4").tobytes()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = F.col(_q(text)).cast("string").alias("text")
+    bounded_batches(df.sparkSession)
     packed = df.select(F.struct(F.lit(0).alias("_"), *[F.col(_q(c)) for c in keep]).alias("row"), F.col(_q(order)).alias("order"), texts)
     dealt = packed.repartitionByRange(n, F.col("order"), F.xxhash64("text")).sortWithinPartitions("order", F.xxhash64("text"), "text").select("row", "text")
     doc = T.StructType([packed.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("at", T.LongType())])

@@ -20,7 +20,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,12 +29,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gridlens.llm import textkit as K
 from gridlens.llm.blocks import _q, unpack
 from gridlens.llm.memo import Memo, grown
+from gridlens.llm.shared import bounded_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of a run without a separator from which it is cut, and symbols of a leaf.
 LEAF = 1024
 #: Words that a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 2_000_000
+#: Letters whose form no normaliser changes, and marks behind them.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+([.,;:!?]*)")
 _encoders: dict[tuple[str, int], WordBpe] = {}
 
 
@@ -60,6 +62,7 @@ class WordBpe:
         added = self.tok.get_added_tokens_decoder()
         self.added = {t.content: i for i, t in added.items()}
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")")
+        self.marked_ends = self._marked_ends()
         self.forget()
 
     # -- encoding ---------------------------------------------------------------
@@ -105,14 +108,30 @@ class WordBpe:
 
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Encodes words by the library, long ones by the tree, and keeps the ids."""
-        found: list[list[int]] = []
-        for lo in range(0, len(words), 2000):
-            some = [w.decode("utf-8", "replace") for w in words[lo : lo + 2000]]
-            done = iter(self.tok.encode_batch_fast([w for w in some if len(w) <= self.leaf], add_special_tokens=False))
-            found += [next(done).ids if len(w) <= self.leaf else self.long(w) for w in some]
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found: list = [None] * len(texts)
+        # A word of plain letters is one piece to the splitter, and marks behind it are a second; every
+        # piece's last token has the end mark. So such words are encoded many to a text and told apart.
+        plain = [(k, m) for k, t in enumerate(texts) if len(t) <= self.leaf and (m := PLAIN.fullmatch(t))] if self.marked_ends is not None else []
+        for lo in range(0, len(plain), 500):
+            some = plain[lo : lo + 500]
+            ids = np.array(self.tok.encode_batch_fast([" ".join([texts[k] for k, _ in some])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.marked_ends[ids]) + 1
+            last = np.cumsum([2 if m[1] else 1 for _, m in some])
+            if len(ends) != last[-1]:
+                continue
+            cuts = [0, *ends[last - 1].tolist()]
+            for j, (k, _) in enumerate(some):
+                found[k] = ids[cuts[j] : cuts[j + 1]]
+        rest = [k for k, x in enumerate(found) if x is None]
+        for lo in range(0, len(rest), 2000):
+            some = rest[lo : lo + 2000]
+            done = iter(self.tok.encode_batch_fast([texts[k] for k in some if len(texts[k]) <= self.leaf], add_special_tokens=False))
+            for k in some:
+                found[k] = next(done).ids if len(texts[k]) <= self.leaf else self.long(texts[k])
         n, new = self.known.n, len(words)
         self.at = grown(self.at, n + new + 1)
-        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+        ids = np.concatenate([np.asarray(x, np.uint32) for x in found])
         begin = self.at[n]
         self.pool = grown(self.pool, begin + len(ids))
         self.pool[begin : begin + len(ids)] = ids
@@ -133,6 +152,14 @@ class WordBpe:
                         out += [i for i, _ in self.tree(self.symbols(piece))]
         return out
 
+    def _marked_ends(self) -> np.ndarray | None:
+        """Which ids end a piece; None if the vocabulary has no mark for that, or splits letters otherwise than expected."""
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        probe = self.tok.pre_tokenizer.pre_tokenize_str("ab cé,, d") if self.tok.pre_tokenizer else []
+        if not suffix or len(probe) != 4:
+            return None
+        return np.array([n.endswith(suffix.encode()) for n in self.names])
+
     @property
     def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
         """Pair of ids to its rank and the id it becomes."""
@@ -231,6 +258,7 @@ def round_trip(df: DataFrame, text: str = "text", keep: list[str] | None = None,
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     path = vocabulary or public_tokenizers.path(VOCABULARY)
+    bounded_batches(df.sparkSession)
     packed = df.select(F.struct(F.lit(0).alias("_"), *[F.col(_q(c)) for c in keep]).alias("row"), F.col(_q(text)).cast("string").alias("text"))
     made = T.StructType([packed.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
 
