@@ -1,14 +1,18 @@
 """Exact BPE encoding and decoding by tree concatenation.
 
-A text is a tree of halves. Where a cut falls on a separator both sides are right as
-they stand, because this tokenizer's normaliser and splitter never look across one; so
-the tree's leaves are words, and each different word is encoded once by the tokenizers
-library itself and kept under a 64-bit hash. A run without a separator that is longer than ``LEAF`` bytes is
-split by the library's own normaliser and splitter; a piece of it that is still longer is
-halved down to leaves, the leaves are merged independently of each other, and each join
-is mended: the tokens around it are encoded again as one window, which grows until its
-first and last tokens are those that the two sides already had. Neighbouring tokens are
-then compatible everywhere, which is what makes a BPE encoding the encoding.
+A text is a tree of parts. Where a cut falls on a separator both sides are right as
+they stand, because this tokenizer's normaliser and splitter never look across one. So:
+
+* A text of more than ``PART`` bytes is cut, wherever the bytes fall, into parts that are encoded in
+  tasks of their own. Joining them, the window around a cut grows to the nearest separator on both sides,
+  and only the word that the cut went through is encoded again.
+* Inside a part the leaves are words, and each different word is encoded once by the tokenizers
+  library itself and kept under a 64-bit hash.
+* A run without a separator that is longer than ``LEAF`` bytes is split by the library's own normaliser
+  and splitter; a piece of it that is still longer is cut into leaves, the leaves are merged
+  independently of each other, and each join is mended: the tokens around it are encoded again as one
+  window, which grows until its first and last tokens are those that the two sides already had.
+  Neighbouring tokens are then compatible everywhere, which is what makes a BPE encoding the encoding.
 
 The vocabulary file is a parameter; it is read on each worker once and kept.
 """
@@ -34,6 +38,8 @@ from gridlens.llm.shared import bounded_batches
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of a run without a separator from which it is cut, and symbols of a leaf.
 LEAF = 1024
+#: Bytes of a text from which its parts are encoded in tasks of their own, and of such a part.
+PART = 1 << 16
 #: Words that a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 2_000_000
 #: Letters whose form no normaliser changes, and marks behind them.
@@ -248,8 +254,68 @@ def token_batches(batch: pa.RecordBatch, column: str, bpe: WordBpe) -> Iterator[
         yield batch.slice(lo, hi - lo), bpe.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
 
 
-def round_trip(df: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """Encodes every whole text and decodes the ids again, in one pass without a shuffle.
+def _cuts(body: bytes, part: int) -> list[bytes]:
+    """Parts of about ``part`` bytes, cut between characters."""
+    out, at = [], 0
+    while at < len(body):
+        end = min(len(body), at + part)
+        while end < len(body) and body[end] & 0xC0 == 0x80:
+            end += 1
+        out.append(body[at:end])
+        at = end
+    return out
+
+
+_INNER = re.compile(rb"[ \t\n\x0b\x0c\r](?:.*[ \t\n\x0b\x0c\r])?", re.DOTALL)
+
+
+def long_texts(packed: DataFrame, path: str, leaf: int, part: int) -> DataFrame:
+    """row and ids of long texts: parts are encoded apart from each other and joined per text.
+
+    A part without a separator joins its neighbours as text; the run that they make is encoded where it is joined.
+    """
+    row = packed.schema["row"]
+    cut_schema = T.StructType([row, T.StructField("key", T.LongType()), T.StructField("place", T.LongType()), T.StructField("part", T.BinaryType())])
+    part_schema = T.StructType([row, T.StructField("key", T.LongType()), T.StructField("place", T.LongType()), T.StructField("head", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("tail", T.BinaryType())])
+    made = T.StructType([row, T.StructField("ids", T.BinaryType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                parts = _cuts(batch["text"][k].as_buffer().to_pybytes(), part)
+                rows = batch["row"].take(pa.array([k] * len(parts)))
+                yield pa.RecordBatch.from_arrays([rows, pa.array([batch["key"][k].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=cut_schema.names)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path, leaf)
+        for batch in batches:
+            heads, ids, tails = [], [], []
+            for body in batch["part"].to_pylist():
+                m = _INNER.search(body)
+                # without a separator the part is all head, and ids are null
+                heads.append(body[: m.start()] if m else body)
+                ids.append(bpe.ids(m[0]) if m else None)
+                tails.append(body[m.end() :] if m else b"")
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["key"], batch["place"], pa.array(heads, pa.binary()), pa.array(ids, pa.binary()), pa.array(tails, pa.binary())], names=part_schema.names)
+
+    def join(table: pa.Table) -> pa.Table:
+        bpe, out, window = encoder(path, leaf), [], b""
+        table = table.sort_by("place")
+        for head, ids, tail in zip(table["head"].to_pylist(), table["ids"].to_pylist(), table["tail"].to_pylist(), strict=True):
+            window += head
+            if ids is not None:
+                out += [bpe.ids(window), ids]
+                window = tail
+        out.append(bpe.ids(window))
+        return pa.table({"row": table["row"].slice(0, 1), "ids": pa.array([b"".join(out)], pa.binary())})
+
+    keyed = packed.select("row", "text", F.monotonically_increasing_id().alias("key"))
+    parts = keyed.mapInArrow(cut, cut_schema).repartition("key", "place").mapInArrow(encode, part_schema)
+    return parts.groupBy("key").applyInArrow(join, made)
+
+
+def round_trip(df: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None, leaf: int = LEAF, part: int = PART) -> DataFrame:
+    """Encodes every whole text and decodes the ids again; only the parts of texts of more than ``part`` bytes are shuffled.
 
     Returns the columns ``keep`` (all but ``text`` by default), ids (binary: little-endian
     unsigned 32-bit integers), n_tokens and decoded. Columns named like an output are
@@ -262,14 +328,26 @@ def round_trip(df: DataFrame, text: str = "text", keep: list[str] | None = None,
     packed = df.select(F.struct(F.lit(0).alias("_"), *[F.col(_q(c)) for c in keep]).alias("row"), F.col(_q(text)).cast("string").alias("text"))
     made = T.StructType([packed.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spelled(rows: pa.Array, ids: list[bytes], bpe: WordBpe) -> pa.RecordBatch:
+        back = [bpe.text(np.frombuffer(x, "<u4")) for x in ids]
+        return pa.RecordBatch.from_arrays([rows, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(back, pa.binary()).cast(pa.string())], names=made.names)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path, leaf)
+        for batch in batches:
+            for piece, ids in token_batches(batch, "text", bpe):
+                yield spelled(piece["row"], ids, bpe)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, leaf)
         for batch in batches:
-            for part, ids in token_batches(batch, "text", bpe):
-                back = [bpe.text(np.frombuffer(x, "<u4")) for x in ids]
-                yield pa.RecordBatch.from_arrays([part["row"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(back, pa.binary()).cast(pa.string())], names=made.names)
+            for k in range(batch.num_rows):
+                yield spelled(batch["row"].slice(k, 1), [batch["ids"][k].as_py()], bpe)
 
-    return unpack(packed.mapInArrow(run, made), keep, made.names[1:])
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    short = packed.where(size <= part).mapInArrow(whole, made)
+    long = long_texts(packed.where(size > part), path, leaf, part).mapInArrow(decode, made)
+    return unpack(short.unionByName(long), keep, made.names[1:])
 
 
 def op10_bpe_round_trip(spark, sf_dir: str) -> DataFrame:

@@ -50,6 +50,21 @@ def test_forgetting_keeps_results(library, monkeypatch):
         check(bpe, library, text)
 
 
+def test_parts_in_tasks_of_their_own(spark, library, odd):
+    rng = random.Random(8)
+    texts = [*ODD, "the<|endoftext|>" * 30, "日本語" * 50, " " * 300, "w" * 200 + " " + "é" * 300]
+    texts += ["".join(rng.choice(["thing", "é", " ", "\n", "<|endoftext|>", "!!", "日", "don't "]) for _ in range(rng.randint(0, 120))) for _ in range(150)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (1000, texts[-1]), (1000, texts[-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in W.round_trip(df, leaf=16, part=40).collect())
+    want = []
+    for k, t in rows:
+        ids = library.encode(t, add_special_tokens=False).ids
+        want.append((k, ids, library.decode(ids, skip_special_tokens=False)))
+    assert got == sorted(want)
+    assert W.round_trip(odd, part=100).count() == odd.count()
+
+
 def test_query(spark, documents, library):
     rows = {r.doc_id: r for r in W.round_trip(documents, keep=["doc_id"]).collect()}
     for d in documents.collect():
