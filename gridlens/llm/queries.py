@@ -20,7 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_substring_dedup": substring.OP1_SQL,
     "op2_near_duplicates": neardup.OP2_SQL,
-    "op3_audio_match": chroma.op3_audio_match,
     "op4_line_dedup": linededup.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
