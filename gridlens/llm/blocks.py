@@ -25,9 +25,9 @@ from gridlens.llm.shared import bounded_batches
 
 BLOCK_BYTES = 4 << 20
 REPORT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("block", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("firsts", T.BinaryType())])
-ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("firsts", T.BinaryType())])
+ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("firsts", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 _REPORT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("firsts", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("firsts", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("firsts", pa.binary()), ("counts", pa.binary())])
 
 
 def block_count(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
@@ -93,8 +93,8 @@ def report(block: int, keys: np.ndarray, counts: np.ndarray, firsts: np.ndarray
     )
 
 
-def exchange(reports: DataFrame, threshold: int) -> DataFrame:
-    """To each block, its keys whose counts over all blocks add up to ``threshold`` or more (with the least first, if any was reported)."""
+def exchange(reports: DataFrame, threshold: int, tell_counts: bool = False) -> DataFrame:
+    """To each block, its keys whose counts over all blocks add up to ``threshold`` or more (with the least first, if any was reported, and with the sums if asked to)."""
 
     def settle(table: pa.Table) -> pa.Table:
         blobs = table["keys"].to_pylist()
@@ -110,16 +110,18 @@ def exchange(reports: DataFrame, threshold: int) -> DataFrame:
         starts = np.flatnonzero(new)
         group = np.empty(len(keys), np.int64)
         group[order] = np.cumsum(new) - 1
-        wanted = (np.add.reduceat(counts[order].astype(np.int64), starts) >= threshold)[group]
+        sums = np.add.reduceat(counts[order].astype(np.int64), starts)[group]
+        wanted = sums >= threshold
         least = np.minimum.reduceat(firsts[order], starts)[group] if has else None
         at = np.concatenate([[0], np.cumsum(sizes)])
-        out: dict[str, list] = {"block": [], "keys": [], "firsts": []}
+        out: dict[str, list] = {"block": [], "keys": [], "firsts": [], "counts": []}
         for k, block in enumerate(table["block"].to_pylist()):
             mine = np.flatnonzero(wanted[at[k] : at[k + 1]]) + at[k]
             if len(mine):
                 out["block"].append(block)
                 out["keys"].append(keys[mine].tobytes())
                 out["firsts"].append(least[mine].tobytes() if has else None)
+                out["counts"].append(sums[mine].tobytes() if tell_counts else None)
         return pa.table(out, schema=_ANSWER)
 
     return reports.groupBy("bucket").applyInArrow(settle, ANSWER)
@@ -134,11 +136,11 @@ def answered(blocks: DataFrame, answers: DataFrame, use: Callable[[pa.Table, pa.
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(use, schema)
 
 
-def sent(answers: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
-    """Keys that a block was sent, sorted, and their firsts."""
+def sent(answers: pa.Table, beside: str = "firsts") -> tuple[np.ndarray, np.ndarray | None]:
+    """Keys that a block was sent, sorted, and their firsts (or counts)."""
     parts = [np.frombuffer(x, np.uint64) for x in answers["keys"].to_pylist()]
     keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     order = np.argsort(keys)
-    if parts and answers["firsts"].null_count == 0:
-        return keys[order], np.concatenate([np.frombuffer(x, np.int64) for x in answers["firsts"].to_pylist()])[order]
+    if parts and answers[beside].null_count == 0:
+        return keys[order], np.concatenate([np.frombuffer(x, np.int64) for x in answers[beside].to_pylist()])[order]
     return keys[order], None

@@ -8,6 +8,14 @@ is a variable field; what remains is the line's template. A template recurs if
 recurring templates are dropped, but for those of the first document that has the
 template, so that no text is lost altogether.
 
+On a large leaf the values of a variable field reach ``min_docs`` documents too, and the
+template splits into one per combination of values. With ``general`` each line has a template at
+every level: at level k a token is constant from ``min_docs`` * 2^k documents on, so whatever the
+size of its leaf, a template of N documents meets a level between the values of its fields
+and N. A line is dropped for its most general recurring template; templates of lower levels
+only part it further, so the first document keeps its lines. ``general`` is off by default, as
+``OP4_SQL`` has level 0 alone; the pipeline uses it.
+
 Leaves, places and templates are counted in documents through ``blocks``, so a line that
 a third of all documents share is one entry a block, and a leaf of any size is spread
 over all blocks. Keys are 64-bit hashes.
@@ -15,6 +23,8 @@ over all blocks. Keys are 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
@@ -68,26 +78,43 @@ class _Lines:
         plain = ~self.field[word]
         return owner[plain], key[plain], np.concatenate([[0], np.cumsum(plain)])[edge]
 
-    def templates(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Template of each line, and whether enough of it is constant."""
-        _, key, edge = self.places()
+    def templates(self, known: np.ndarray, docs: np.ndarray | None, min_docs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Lines and their templates, of which enough is constant; level by level if the places' counts of documents are given, at each the lines that have another template than before."""
+        owner, key, edge = self.places()
         fixed = K.member(key, known)
         sums = np.zeros(len(key) + 1, U)
         with np.errstate(over="ignore"):
             np.cumsum(np.where(fixed, K.mix(key), U(0)), out=sums[1:])
-            name = K.mix((sums[edge[1:]] - sums[edge[:-1]]) + self.leaf * U(0xBF58476D1CE4E5B9) + U(7))
+            state = (sums[edge[1:]] - sums[edge[:-1]]) + self.leaf * U(0xBF58476D1CE4E5B9) + U(7)
         count = np.concatenate([[0], np.cumsum(fixed)])
         constant = count[edge[1:]] - count[edge[:-1]]
         for k in range(DEPTH):
             constant = constant + ~self.field[self.at + k]
-        return name, constant >= MIN_CONSTANT * self.n
+        lines = np.flatnonzero(constant >= MIN_CONSTANT * self.n)
+        yield lines, K.mix(state[lines])
+        if docs is None:
+            return
+        at = np.flatnonzero(fixed)
+        held = docs[np.searchsorted(known, key[at])]
+        least = min_docs
+        while len(at):
+            least *= 2
+            field = held < least
+            gone, at, held = at[field], at[~field], held[~field]
+            if len(gone):
+                with np.errstate(over="ignore"):
+                    np.subtract.at(state, owner[gone], K.mix(key[gone]))
+                np.subtract.at(constant, owner[gone], 1)
+                lines = np.unique(owner[gone])
+                lines = lines[constant[lines] >= MIN_CONSTANT * self.n[lines]]
+                yield lines, K.mix(state[lines])
 
     def once(self, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Indices of one of each (document, key)."""
         return np.unique(K.mix(key ^ K.mix(doc.astype(U) + U(3))), return_index=True)[1]
 
 
-def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = None, order: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = None, order: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, block_bytes: int = B.BLOCK_BYTES, general: bool = False) -> DataFrame:
     """Returns the columns ``keep`` (all but ``text`` by default), the text without the dropped lines under its own name, n_lines, n_dropped and dropped (numbers of the lines from 0).
 
     Lines are what ``\\n`` separates. Lines of fewer than ``min_tokens`` tokens (``DEPTH`` at least)
@@ -107,11 +134,14 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
         for lo, hi in K.slices(off):
             yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
-    def split(answer: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Leaves and places, templates, and the templates' first documents."""
+    def split(answer: pa.Table) -> tuple[np.ndarray, ...]:
+        """Leaves; places and the documents that hold them, if told; templates and their first documents."""
         named = pa.compute.is_valid(answer["firsts"])
-        known, _ = B.sent(answer.filter(pa.compute.invert(named)))
-        return known, *B.sent(answer.filter(named))
+        rest = answer.filter(pa.compute.invert(named))
+        told = pa.compute.is_valid(rest["counts"])
+        leaf, _ = B.sent(rest.filter(pa.compute.invert(told)) if general else rest)
+        place, held = B.sent(rest.filter(told), "counts") if general else (leaf, None)
+        return leaf, place, np.zeros(0, np.int64) if general and held is None else held, *B.sent(answer.filter(named))
 
     def block(table: pa.Table) -> int:
         return table["block"][0].as_py() if len(table) else 0
@@ -139,17 +169,17 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
         return told(table, found)
 
     def templates(table: pa.Table, answer: pa.Table) -> pa.Table:
-        known, _ = B.sent(answer)
+        known, place, held, _, _ = split(answer)
         found, firsts = [], []
         rank = orders(table)
         for lo, _, data, off in slices(table) if len(known) else ():
             x = _Lines(data, off, min_tokens)
             x.only(known)
-            name, enough = x.templates(known)
-            name, doc = name[enough], x.doc[enough]
-            one = x.once(doc, name)
-            found.append(name[one])
-            firsts.append(rank[lo + doc[one]])
+            for line, name in x.templates(place, held, min_docs):
+                doc = x.doc[line]
+                one = x.once(doc, name)
+                found.append(name[one])
+                firsts.append(rank[lo + doc[one]])
         return told(table, found, firsts)
 
     def orders(table: pa.Table) -> np.ndarray:
@@ -158,20 +188,18 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
     made = T.StructType([docs.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("dropped", T.ArrayType(T.IntegerType()))])
 
     def cut(table: pa.Table, answer: pa.Table) -> pa.Table:
-        known, recurring, first = split(answer)
+        known, place, held, recurring, first = split(answer)
         rank, null = orders(table), table["text"].is_null().to_pylist()
         texts, n_lines, dropped = [], [], []
         for lo, hi, data, off in slices(table):
             x = _Lines(data, off, min_tokens)
             gone = np.zeros(len(x.begin), bool)
             if len(recurring):
-                all_lines = np.zeros(len(x.begin), bool)
                 x.only(known)
-                name, enough = x.templates(known)
-                hit = np.flatnonzero(enough & K.member(name, recurring))
-                other = first[np.searchsorted(recurring, name[hit])] != rank[lo + x.doc[hit]]
-                all_lines[x.line[hit[other]]] = True
-                gone = all_lines
+                for line, name in x.templates(place, held, min_docs):
+                    hit = K.member(name, recurring)
+                    line, name = line[hit], name[hit]
+                    gone[x.line[line]] = first[np.searchsorted(recurring, name)] != rank[lo + x.doc[line]]
             body = data.tobytes()
             total = np.concatenate([[0], np.cumsum(gone)])[x.first]
             for d in range(hi - lo):
@@ -192,7 +220,7 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
         return pa.table({"row": table["row"], "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array([len(x) for x in dropped], pa.int64()), "dropped": pa.array(dropped, pa.list_(pa.int32()))})
 
     leaf = B.exchange(B.first_reports(docs, leaves), min_docs)
-    known = leaf.unionByName(B.exchange(B.answered(docs, leaf, places), min_docs))
+    known = leaf.unionByName(B.exchange(B.answered(docs, leaf, places), min_docs, general))
     named = B.exchange(B.answered(docs, known, templates), min_docs)
     out = B.answered(docs, known.unionByName(named), cut, made)
     own = {text.lower(), "n_lines", "n_dropped", "dropped"}

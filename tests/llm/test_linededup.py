@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from gridlens.llm import linededup as L
 
 
@@ -63,3 +65,26 @@ def test_odd_rows(odd, odd_rows, empty):
     assert sorted(r.text or "" for r in rows) == sorted(r[1] or "" for r in odd_rows)
     assert rows[0].asDict().keys() == {"doc_id", "lang", "source", "n_chars", "block", "row", "kept_text", "text", "n_lines", "n_dropped", "dropped"}
     assert L.drop_recurring(empty).collect() == []
+
+
+@pytest.mark.parametrize("n", [12, 500, 20_000])
+def test_general_templates_of_any_leaf_size(spark, n):
+    rng = random.Random(n)
+    rows = [(k, f"order shipped from the shop of {'name'}{_letters(rng.randrange(200))} in city{_letters(rng.randrange(100))} today") for k in range(n)]
+    # a template of few documents in the same leaf, and one line of prose
+    rows += [(n + k, f"order shipped from a depot at gate of{_letters(k)} harbour road") for k in range(15)] + [(n + 15, "order shipped from one that nobody else has ever seen")]
+    got = {r.doc_id: r.n_dropped for r in L.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), general=True).collect()}
+    assert [k for k in range(n) if not got[k]] == [0]
+    assert [k for k in range(n, n + 16) if not got[k]] == [n, n + 15]
+
+
+def test_general_drops_what_level_0_drops(spark):
+    rng = random.Random(3)
+    rows = [(k, "\n".join(" ".join(rng.choice("abcd") for _ in range(rng.randint(3, 8))) for _ in range(6))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, general = ({r.doc_id: set(r.dropped) for r in L.drop_recurring(df, min_docs=3, block_bytes=900, general=g).collect()} for g in (False, True))
+    assert all(plain[k] <= general[k] for k in plain) and any(plain[k] < general[k] for k in plain)
+
+
+def _letters(k):
+    return chr(97 + k // 26) + chr(97 + k % 26)
