@@ -33,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return neardup.keep_one(docs)
+    """One document of each class of near-duplicates, without long lines that an earlier one of them holds."""
+    return _as(docs, linededup.drop_repeated(_stored(neardup.keep_one(docs), "near", even=False)))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,10 @@ only part it further, so the first document keeps its lines. ``general`` is off
 Leaves, places and templates are counted in documents through ``blocks``, so a line that
 a third of all documents share is one entry a block, and a leaf of any size is spread
 over all blocks. Keys are 64-bit hashes.
+
+Long lines need no ten documents to be no chance: ``drop_repeated`` drops a line of
+``LONG`` words whose words, in order, stand in an earlier document too. It comes after
+near-dedup, which takes whole copies away and would no longer know them by what is left.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from gridlens.llm.textkit import U
 DEPTH, MIN_TOKENS = 3, 3
 MIN_DOCS = 10
 MIN_CONSTANT = 0.5
+LONG = 50
 _FIELD = U(0x2545F4914F6CDD1D)
 _NOBODY = np.iinfo(np.int64).max
 
@@ -50,6 +55,7 @@ class _Lines:
         digits = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
         self.field = digits[ends] > digits[starts]
         self.tokens = np.where(self.field, _FIELD, hashes)
+        self.words = hashes
         at = np.searchsorted(starts, self.begin)
         n = np.searchsorted(starts, self.end) - at
         self.line = np.flatnonzero(n >= min_tokens)
@@ -114,6 +120,89 @@ class _Lines:
         return np.unique(K.mix(key ^ K.mix(doc.astype(U) + U(3))), return_index=True)[1]
 
 
+def _rest(data: np.ndarray, off: np.ndarray, x: _Lines, gone: np.ndarray, null: list[bool], texts: list, n_lines: list[int], dropped: list[list[int]]) -> None:
+    """Adds what is left of each document of a slice."""
+    body = data.tobytes()
+    total = np.concatenate([[0], np.cumsum(gone)])[x.first]
+    for d in range(len(null)):
+        a, b = x.first[d], x.first[d + 1]
+        if null[d]:
+            texts.append(None)
+            n_lines.append(0)
+            dropped.append([])
+            continue
+        n_lines.append(int(b - a))
+        if total[d + 1] == total[d]:
+            dropped.append([])
+            texts.append(body[off[d] : off[d + 1]])
+        else:
+            mine = gone[a:b]
+            dropped.append(np.flatnonzero(mine).tolist())
+            texts.append(b"\n".join([body[x.begin[k] : x.end[k]] for k in (a + np.flatnonzero(~mine))]))
+
+
+def _slices(table: pa.Table):
+    data, off = K.buffers(table["text"])
+    for lo, hi in K.slices(off):
+        yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+
+
+def _orders(table: pa.Table) -> np.ndarray:
+    return np.asarray(pa.compute.struct_field(table["row"].combine_chunks(), "_order_")) if len(table) else np.zeros(0, np.int64)
+
+
+def _dealt(df: DataFrame, text: str, keep: list[str], order: str, block_bytes: int) -> tuple[DataFrame, int, T.StructType]:
+    """Documents in blocks, with their orders; the number of blocks; and what is made of them."""
+    n, _ = B.block_count(df, text, block_bytes)
+    named = df.select(*[F.col(B._q(c)) for c in dict.fromkeys([*keep, text])], F.coalesce(F.col(B._q(order)).cast("long"), F.lit(_NOBODY)).alias("_order_"))
+    docs = B.to_blocks(named, text, [*keep, "_order_"], n)
+    return docs, n, T.StructType([docs.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("dropped", T.ArrayType(T.IntegerType()))])
+
+
+def _table(table: pa.Table, texts: list, n_lines: list[int], dropped: list[list[int]]) -> pa.Table:
+    return pa.table({"row": table["row"], "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array([len(x) for x in dropped], pa.int64()), "dropped": pa.array(dropped, pa.list_(pa.int32()))})
+
+
+def _columns(out: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    own = {text.lower(), "n_lines", "n_dropped", "dropped"}
+    return out.select(*[F.col("row")[c].alias(c) for c in keep if c.lower() not in own], F.col("text").alias(text), "n_lines", "n_dropped", "dropped")
+
+
+def drop_repeated(df: DataFrame, text: str = "text", keep: list[str] | None = None, order: str = "doc_id", min_docs: int = 2, min_words: int = LONG, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """Like ``drop_recurring``, but drops lines of at least ``min_words`` words whose words, in order, ``min_docs`` documents hold, outside the first of these."""
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    docs, n, made = _dealt(df, text, keep, order, block_bytes)
+
+    def keys(x: _Lines) -> np.ndarray:
+        return K.windows_at(K.window_sums(x.words), x.n, x.at) if len(x.n) else np.zeros(0, U)
+
+    def lines(table: pa.Table) -> pa.Table:
+        found, firsts, rank = [np.zeros(0, U)], [np.zeros(0, np.int64)], _orders(table)
+        for lo, _, data, off in _slices(table):
+            x = _Lines(data, off, max(min_words, DEPTH))
+            key = keys(x)
+            one = x.once(x.doc, key)
+            found.append(key[one])
+            firsts.append(rank[lo + x.doc[one]])
+        return B.report(table["block"][0].as_py(), *B.tally(np.concatenate(found), None, np.concatenate(firsts)), n)
+
+    def cut(table: pa.Table, answer: pa.Table) -> pa.Table:
+        known, first = B.sent(answer)
+        rank, null = _orders(table), table["text"].is_null().to_pylist()
+        texts, n_lines, dropped = [], [], []
+        for lo, hi, data, off in _slices(table):
+            x = _Lines(data, off, max(min_words, DEPTH))
+            gone = np.zeros(len(x.begin), bool)
+            if len(known):
+                key = keys(x)
+                hit = np.flatnonzero(K.member(key, known))
+                gone[x.line[hit]] = first[np.searchsorted(known, key[hit])] != rank[lo + x.doc[hit]]
+            _rest(data, off, x, gone, null[lo:hi], texts, n_lines, dropped)
+        return _table(table, texts, n_lines, dropped)
+
+    return _columns(B.answered(docs, B.exchange(B.first_reports(docs, lines), min_docs), cut, made), text, keep)
+
+
 def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = None, order: str = "doc_id", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, block_bytes: int = B.BLOCK_BYTES, general: bool = False) -> DataFrame:
     """Returns the columns ``keep`` (all but ``text`` by default), the text without the dropped lines under its own name, n_lines, n_dropped and dropped (numbers of the lines from 0).
 
@@ -125,14 +214,7 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     min_tokens = max(min_tokens, DEPTH)
-    n, _ = B.block_count(df, text, block_bytes)
-    named = df.select(*[F.col(B._q(c)) for c in dict.fromkeys([*keep, text])], F.coalesce(F.col(B._q(order)).cast("long"), F.lit(_NOBODY)).alias("_order_"))
-    docs = B.to_blocks(named, text, [*keep, "_order_"], n)
-
-    def slices(table: pa.Table):
-        data, off = K.buffers(table["text"])
-        for lo, hi in K.slices(off):
-            yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+    docs, n, made = _dealt(df, text, keep, order, block_bytes)
 
     def split(answer: pa.Table) -> tuple[np.ndarray, ...]:
         """Leaves; places and the documents that hold them, if told; templates and their first documents."""
@@ -153,7 +235,7 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
 
     def leaves(table: pa.Table) -> pa.Table:
         found = []
-        for _, _, data, off in slices(table):
+        for _, _, data, off in _slices(table):
             x = _Lines(data, off, min_tokens)
             found.append(x.leaf[x.once(x.doc, x.leaf)])
         return told(table, found)
@@ -161,7 +243,7 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
     def places(table: pa.Table, answer: pa.Table) -> pa.Table:
         known, _ = B.sent(answer)
         found = []
-        for _, _, data, off in slices(table) if len(known) else ():
+        for _, _, data, off in _slices(table) if len(known) else ():
             x = _Lines(data, off, min_tokens)
             x.only(known)
             owner, key, _ = x.places()
@@ -171,8 +253,8 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
     def templates(table: pa.Table, answer: pa.Table) -> pa.Table:
         known, place, held, _, _ = split(answer)
         found, firsts = [], []
-        rank = orders(table)
-        for lo, _, data, off in slices(table) if len(known) else ():
+        rank = _orders(table)
+        for lo, _, data, off in _slices(table) if len(known) else ():
             x = _Lines(data, off, min_tokens)
             x.only(known)
             for line, name in x.templates(place, held, min_docs):
@@ -182,16 +264,11 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
                 firsts.append(rank[lo + doc[one]])
         return told(table, found, firsts)
 
-    def orders(table: pa.Table) -> np.ndarray:
-        return np.asarray(pa.compute.struct_field(table["row"].combine_chunks(), "_order_")) if len(table) else np.zeros(0, np.int64)
-
-    made = T.StructType([docs.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("dropped", T.ArrayType(T.IntegerType()))])
-
     def cut(table: pa.Table, answer: pa.Table) -> pa.Table:
         known, place, held, recurring, first = split(answer)
-        rank, null = orders(table), table["text"].is_null().to_pylist()
+        rank, null = _orders(table), table["text"].is_null().to_pylist()
         texts, n_lines, dropped = [], [], []
-        for lo, hi, data, off in slices(table):
+        for lo, hi, data, off in _slices(table):
             x = _Lines(data, off, min_tokens)
             gone = np.zeros(len(x.begin), bool)
             if len(recurring):
@@ -200,31 +277,14 @@ def drop_recurring(df: DataFrame, text: str = "text", keep: list[str] | None = N
                     hit = K.member(name, recurring)
                     line, name = line[hit], name[hit]
                     gone[x.line[line]] = first[np.searchsorted(recurring, name)] != rank[lo + x.doc[line]]
-            body = data.tobytes()
-            total = np.concatenate([[0], np.cumsum(gone)])[x.first]
-            for d in range(hi - lo):
-                a, b = x.first[d], x.first[d + 1]
-                if null[lo + d]:
-                    texts.append(None)
-                    n_lines.append(0)
-                    dropped.append([])
-                    continue
-                n_lines.append(int(b - a))
-                if total[d + 1] == total[d]:
-                    dropped.append([])
-                    texts.append(body[off[d] : off[d + 1]])
-                else:
-                    mine = gone[a:b]
-                    dropped.append(np.flatnonzero(mine).tolist())
-                    texts.append(b"\n".join([body[x.begin[k] : x.end[k]] for k in (a + np.flatnonzero(~mine))]))
-        return pa.table({"row": table["row"], "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array([len(x) for x in dropped], pa.int64()), "dropped": pa.array(dropped, pa.list_(pa.int32()))})
+            _rest(data, off, x, gone, null[lo:hi], texts, n_lines, dropped)
+        return _table(table, texts, n_lines, dropped)
 
     leaf = B.exchange(B.first_reports(docs, leaves), min_docs)
     known = leaf.unionByName(B.exchange(B.answered(docs, leaf, places), min_docs, general))
     named = B.exchange(B.answered(docs, known, templates), min_docs)
     out = B.answered(docs, known.unionByName(named), cut, made)
-    own = {text.lower(), "n_lines", "n_dropped", "dropped"}
-    return out.select(*[F.col("row")[c].alias(c) for c in keep if c.lower() not in own], F.col("text").alias(text), "n_lines", "n_dropped", "dropped")
+    return _columns(out, text, keep)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline as C
 from gridlens.llm import linededup as L
 
 
@@ -88,3 +89,16 @@ def test_general_drops_what_level_0_drops(spark):
 
 def _letters(k):
     return chr(97 + k // 26) + chr(97 + k % 26)
+
+
+def test_repeated_long_lines(spark, tmp_path):
+    passage = " ".join(f"w{_letters(k)}" for k in range(60))
+    own = lambda k: " ".join(f"own{_letters(k)}{_letters(j)}" for j in range(300))
+    rows = [(k, f"{own(k)}\n{passage if k % 2 else passage.replace(' ', '  ')}\nin short\n{passage[:120]}") for k in range(3)]
+    rows += [(3, f"{own(3)}\n{passage} more"), (None, passage), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.dropped, r.text) for r in L.drop_repeated(df, block_bytes=300).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: [], 1: [1], 2: [1], 3: [], None: [0], 4: [], 5: []}
+    assert got[1][1] == rows[1][1].replace(passage + "\n", "") and got[4][1] is None
+    staged = {r.doc_id: r.text for r in C.near_dedup(spark, C.line_dedup(spark, df.where("doc_id < 4"), ""), "").collect()}
+    assert [passage in staged[k].replace("  ", " ") for k in range(4)] == [True, False, False, True]
