@@ -9,10 +9,9 @@ word sequence also starts anywhere else. Levels of doubling length lead there an
 2. Only full windows whose stand-in is repeated are extended to the full length and
    counted. Those repeated are the result; the words they cover are removed.
 3. Windows of twice that length, of four times and so on, until none survives: only a
-   window repeated at one length is extended to the next. They are repeated only inside
+   window all of whose windows of half its length are repeated is counted, at every start. They are repeated only inside
    what step 2 removes, so they tell how long the repeats are (``longest``) and nothing
-   more; so they are followed from one start in ``ANCHORS``, chosen by the window's hash,
-   which equal windows share. No window outlasts the longest text, which bounds the levels.
+   more. No window outlasts the longest text, which bounds the levels.
 
 Counting goes through ``blocks``: a passage that many documents share is one entry a
 block. Keys are 64-bit hashes.
@@ -27,8 +26,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gridlens.llm import blocks as B, textkit as K
 
 WINDOW = 35
-#: One start in so many is followed beyond the window.
-ANCHORS = 8
 
 
 def _per_slice(texts: pa.ChunkedArray):
@@ -53,10 +50,13 @@ def _stand_ins(sums: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndar
     return least, full, hashes[(most == hashes) & (most > 0)]
 
 
-def _anchors(sums: np.ndarray, room: np.ndarray, min_words: int, length: int) -> np.ndarray:
-    """Starts to follow at a greater length."""
-    hashes = K.windows(sums, min_words)
-    return np.flatnonzero((hashes % np.uint64(ANCHORS) == 0) & (room[: len(hashes)] >= length))
+def _surviving(sums: np.ndarray, room: np.ndarray, known: np.ndarray, length: int) -> np.ndarray:
+    """Starts of windows of ``length`` words in which every window of half as many is known."""
+    half = length // 2
+    hashes = K.windows(sums, half)
+    lost = np.concatenate([[0], np.cumsum(~K.member(hashes, known))])
+    at = np.flatnonzero(room[: max(0, len(hashes) - half)] >= length)
+    return at[lost[at + half + 1] == lost[at]]
 
 
 def _report(block: int, parts: list[np.ndarray], n: int) -> pa.Table:
@@ -69,7 +69,7 @@ def repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None, mi
 
     Returns the columns ``keep`` (all but ``text`` by default) and kept_text (kept words
     joined by one space), n_words, n_removed, spans (array of first word and word after
-    the last of each removed run) and longest (the greatest of ``min_words``, twice that and so on at which a followed
+    the last of each removed run) and longest (the greatest of ``min_words``, twice that and so on at which a
     window is still repeated; 0 if no word goes). ``levels`` limits the doublings beyond ``min_words``;
     None goes on until no window can survive. Windows are judged on
     the input, not on what is left, and the first copy goes like the others.
@@ -106,9 +106,7 @@ def repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None, mi
             found = []
             if len(known):
                 for *_, sums, room in _per_slice(table["text"]):
-                    at = _anchors(sums, room, min_words, length)
-                    again = K.member(K.windows_at(sums, length // 2, at), known)
-                    found.append(K.windows_at(sums, length, at[again]))
+                    found.append(K.windows_at(sums, length, _surviving(sums, room, known, length)))
             return _report(table["block"][0].as_py() if len(table) else 0, found, n)
 
         return extend
@@ -134,7 +132,7 @@ def repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None, mi
             marked[: len(hashes)] = K.member(hashes, known) & (room[: len(hashes)] >= min_words)
             best[marked] = min_words
             gone = K.cover(marked, min_words)
-            at = np.flatnonzero(marked[: len(hashes)] & (hashes % np.uint64(ANCHORS) == 0)) if levels else np.zeros(0, np.int64)
+            at = np.flatnonzero(marked) if levels else np.zeros(0, np.int64)
             for k in range(1, levels + 1):
                 length = min_words << k
                 at = at[room[at] >= length]

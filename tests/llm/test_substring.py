@@ -58,3 +58,13 @@ def test_query(spark, sf, documents):
     docs = documents.collect()
     want = {d.doc_id: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, (n, gone, kept) in zip(docs, brute([d.text for d in docs], 35), strict=True)}
     assert {r.doc_id: tuple(r)[1:] for r in S.op1_substring_dedup(spark, sf).collect()} == want
+
+
+def test_longest_just_over_a_level(spark):
+    rows, want = [], {}
+    for k, (r, longest) in enumerate([(34, 0), (35, 35), (69, 35), (70, 70), (71, 70), (139, 70), (140, 140), (279, 140), (280, 280)] * 3):
+        shared = " ".join(f"s{k}w{j}" for j in range(r))
+        rows += [(2 * k, f"{shared} " + " ".join(f"a{k}w{j}" for j in range(300))), (2 * k + 1, " ".join(f"b{k}w{j}" for j in range(200)) + f" {shared}")]
+        want |= {2 * k: longest, 2 * k + 1: longest}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.longest for r in S.repeats(df, block_bytes=4000).collect()} == want
