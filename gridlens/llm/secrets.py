@@ -2,10 +2,11 @@
 
 Patterns find assignments, access keys and long hexadecimal runs. Strings that no pattern
 knows show by what they cost a tokenizer: words of a language are in its vocabulary, random
-characters are not, so a run of ``MIN_RUN`` or more characters with both letters and
-digits is a span of kind ``opaque`` if a tiktoken vocabulary needs more than one token for
-every ``MAX_RATIO`` characters. Not tested: digests of known lengths and UUIDs, and
-identifiers (parts of letters with at most four digits behind them, joined by ``_ - / + =``).
+characters are not, so a run of ``MIN_RUN`` or more characters with a letter is a span of
+kind ``opaque`` if a tiktoken vocabulary needs more than one token for
+every ``MAX_RATIO`` characters. Not tested: digests of known lengths and UUIDs. Of
+identifiers (parts of letters with at most four digits behind them, joined by ``_ - / + =``) the
+parts are tested, as short ones cost much without being random.
 An opaque run that touches a pattern's span is that span already.
 """
 
@@ -28,7 +29,7 @@ from gridlens.llm.shared import bounded_batches
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "opaque")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
-MIN_RUN, MAX_RATIO = 20, 2.2
+MIN_RUN, MAX_RATIO = 16, 2.2
 
 # The patterns of the contract. Letters of ASCII alone fold case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -41,7 +42,7 @@ UUID = re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}
 
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 IDENTIFIER = re.compile(rb"(?:[A-Za-z]*[0-9]{0,4}[_/+=-]+)*[A-Za-z]*[0-9]{0,4}")
-LETTER, DIGIT = re.compile(rb"[A-Za-z]"), re.compile(rb"[0-9]")
+LETTER, JOINT = re.compile(rb"[A-Za-z]"), re.compile(rb"[_/+=-]+")
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -55,8 +56,10 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 def opaque(run: bytes, enc: tiktoken.Encoding, max_ratio: float = MAX_RATIO) -> bool:
     """Whether a run reads as random characters."""
-    if not (LETTER.search(run) and DIGIT.search(run)) or IDENTIFIER.fullmatch(run) or UUID.fullmatch(run):
+    if not LETTER.search(run) or UUID.fullmatch(run):
         return False
+    if JOINT.search(run) and IDENTIFIER.fullmatch(run):
+        return any(len(part) >= MIN_RUN and opaque(part, enc, max_ratio) for part in JOINT.split(run))
     if len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
         return False
     return len(run) < max_ratio * len(enc.encode_ordinary(run.decode("ascii")))

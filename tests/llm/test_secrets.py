@@ -52,3 +52,14 @@ def test_query(spark, sf, documents):
 def test_odd_rows(odd, odd_rows, empty):
     assert S.find_secrets(odd).count() == len(odd_rows)
     assert S.find_secrets(empty).collect() == []
+
+
+def test_opaque_letters_and_short_runs():
+    rng = random.Random(8)
+    for letters in ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"]:
+        for n in (16, 18, 20, 64):
+            runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(200)]
+            assert sum(found(f"see {x} here") == [("opaque", 4, 4 + n)] for x in runs) >= 190, (letters, n)
+    assert found("key_qZkvXwTbLrNpGsHdJm") == [("opaque", 0, 22)]
+    for clean in ["MAX_RETRY_COUNT_EXCEEDED", "/home/user/x/y/z", "XMLHttpRequestFactory", "Donaudampfschifffahrtsgesellschaft", "aaaaaaaaaaaaaaaa", "1234567890123456", "state-of-the-art"]:
+        assert found(f"see {clean} here") == [], clean
