@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlens.llm.blocks import _q
-from gridlens.llm.neardup import _stored
-from gridlens.llm.shared import bounded_batches
+from gridlens.llm.shared import bounded_batches, stored
 
 RATE, FRAME, HOP = 8000, 2048, 683
 LOW, HIGH = 28.0, 3520.0
@@ -163,10 +162,10 @@ def align(prints: DataFrame, is_query, min_hits: int = MIN_HITS, min_overlap: in
     equal items (at least ``min_hits``) the least, if the share of differing bits over at least ``min_overlap``
     items is at most ``max_error``.
     """
-    prints = _stored(prints, "prints")
+    prints = stored(prints, "prints")
     some = prints.where("n_items > 0")
     kinds = some.groupBy("items").agg(F.min("id").alias("class_id"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked"))
-    kinds = _stored(kinds, "kinds")
+    kinds = stored(kinds, "kinds")
     named = kinds.select(F.col("items").alias("its"), F.col("class_id").alias("least"))
     rows = prints.join(named, prints["items"] == named["its"], "left").select("id", F.when(F.col("n_items") > 0, F.col("least")).otherwise(F.col("id")).alias("class_id"), "n_items")
 

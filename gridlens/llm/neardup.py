@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlens.llm import dart, textkit as K
 from gridlens.llm.blocks import _q
-from gridlens.llm.shared import bounded_batches, fresh_path
+from gridlens.llm.shared import bounded_batches, dropped, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 K_DARTS, ROWS = 80, 4
@@ -47,25 +47,22 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np
     A text of fewer words than a shingle has one shingle of all of them; one without words has none.
     """
     starts, ends, first = K.words(data, off)
-    hashes = K.word_hashes(data, starts, ends)
-    sums, room, n = K.window_sums(hashes), K.room(first, len(starts)), np.diff(first)
-    wide = K.windows(sums, size)
+    hashes = K.span_hashes(data, starts, ends)
+    room, n = K.room(first, len(starts)), np.diff(first)
+    wide = K.windows(hashes, size)
     at = np.flatnonzero(room[: len(wide)] >= size)
     own = np.repeat(np.arange(len(n)), n)[at]
+    body = data.tobytes()
+    names = np.frombuffer(b"".join([K.word_sequence(body[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]), np.uint64).reshape(-1, 2)
     short = np.flatnonzero((n > 0) & (n < size))
-    inv = K._pow(K._BASE_INV, len(sums))
-    other = K.window_sums(K.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
-    with np.errstate(over="ignore"):
-        words = n.astype(np.uint64)
-        whole = K.mix((sums[first[1:]] - sums[first[:-1]]) * inv[first[:-1]] + words)
-        again = K.mix((other[first[1:]] - other[first[:-1]]) * inv[first[:-1]] + words)
+    whole = names[:, 0]
     values, own = np.concatenate([wide[at], whole[short]]), np.concatenate([own, short])
     order = np.lexsort((values, own))
     values, own = values[order], own[order]
     new = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (own[1:] != own[:-1])])) if len(values) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([new, [len(values)]])).astype(np.float64)
     begin = np.concatenate([[0], np.cumsum(np.bincount(own[new], minlength=len(n)))]).astype(np.int64)
-    return values[new], counts, begin, np.stack([whole, again], 1)
+    return values[new], counts, begin, names
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -89,13 +86,6 @@ def _each(texts: pa.Array | pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def _stored(df: DataFrame, name: str, even: bool = True) -> DataFrame:
-    """Written to the shared folder and read again; ``even`` deals rows into few files of like size first, as a file costs more than its rows here."""
-    path = fresh_path(df.sparkSession, name)
-    (df.hint("rebalance") if even else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def signed(df: DataFrame, text: str, order: str) -> DataFrame:
     """id, mark (a hash of the text), node (null without words), bands and sig (low 16 bits of each dart)."""
     bounded_batches(df.sparkSession)
@@ -124,14 +114,14 @@ def components(links: DataFrame) -> DataFrame:
     Least labels pass along links and then along themselves (a label takes its own label's
     label), so rounds grow with the logarithm of a chain, not with its length.
     """
-    both = _stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = _stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels")
+    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         met = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        met = _stored(met, "labels")
+        met = stored(met, "labels")
         up = met.select(F.col("node").alias("up_node"), F.col("comp").alias("up"))
-        new = _stored(met.join(up, met["comp"] == up["up_node"]).select("node", "was", F.least("comp", "up").alias("comp")), "labels")
+        new = stored(met.join(up, met["comp"] == up["up_node"]).select("node", "was", F.least("comp", "up").alias("comp")), "labels")
         labels = new.select("node", "comp")
         if new.where("was <> comp").isEmpty():
             return labels
@@ -145,27 +135,27 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold:
     An empty table gives an empty result.
     """
     spark = df.sparkSession
-    rows = _stored(signed(df, text, order), "signatures")
+    rows = stored(signed(df, text, order), "signatures")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.max(F.struct("bands", "sig")).alias("s"))
-    nodes = _stored(nodes.select("node", "first", "s.bands", "s.sig"), "nodes")
+    nodes = stored(nodes.select("node", "first", "s.bands", "s.sig"), "nodes")
 
     # buckets with company, and the most popular member of each
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = _stored(spread.join(sizes, "bucket"), "buckets")
+    members = stored(spread.join(sizes, "bucket"), "buckets")
     popular = members.groupBy("node").agg(F.sum("size").alias("company"))
     ranked = members.select("bucket", "node").join(popular, "node")
-    ranked = _stored(ranked.select("bucket", F.struct(-F.col("company"), "node").alias("rank"), "node"), "ranked")
+    ranked = stored(ranked.select("bucket", F.struct(-F.col("company"), "node").alias("rank"), "node"), "ranked")
     centres = ranked.groupBy("bucket").agg(F.min("rank").alias("top")).select("bucket", F.col("top.node").alias("centre"))
-    seated = _stored(ranked.select("bucket", "node").join(centres, "bucket"), "seated")
+    seated = stored(ranked.select("bucket", "node").join(centres, "bucket"), "seated")
     pairs = seated.where("node <> centre").select("node", "centre").distinct()
-    pairs = _stored(pairs, "pairs")
+    pairs = stored(pairs, "pairs")
 
     # whole texts of the nodes concerned, one document each
     asked = members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first.id").alias("its_id"), F.col("first.mark").alias("its_mark"))
     plain = df.select(F.col(_q(order)).alias("id"), F.xxhash64(F.col(_q(text)).cast("string")).alias("mark"), F.col(_q(text)).cast("string").alias("text"))
     texts = plain.join(asked, (plain["mark"] == asked["its_mark"]) & plain["id"].eqNullSafe(asked["its_id"]))
-    texts = _stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -177,7 +167,7 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold:
     link = "a binary, b binary"
     one = pairs.join(texts, "node").select("centre", F.col("node").alias("a"), "text")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), F.col("centre") == F.col("b")).select("a", "b", "text", "other")
-    links = _stored(two.mapInArrow(check, link), "links")
+    links = stored(two.mapInArrow(check, link), "links")
     comps = components(links)
 
     # buckets whose members beside the centre are still apart
@@ -227,7 +217,7 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold:
                     top[top == top[y]] = top[x]
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    more = _stored(held.groupBy("bucket", "lo", "hi").applyInArrow(compare, link), "links")
+    more = stored(held.groupBy("bucket", "lo", "hi").applyInArrow(compare, link), "links")
     if not more.isEmpty():
         comps = components(links.union(more))
 

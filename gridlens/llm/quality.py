@@ -53,18 +53,18 @@ def measure_texts(texts: pa.Array) -> dict[str, np.ndarray]:
     for lo, hi in K.slices(off):
         part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         starts, ends, first = K.words(part, at)
-        sums, n = K.prefix(part), hi - lo
+        view, n = K.eights(part), hi - lo
 
         def per_doc(flags: np.ndarray, at: np.ndarray = at) -> np.ndarray:
             return np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
 
-        hashes = K.span_hashes(sums, starts, ends)
+        hashes = K.span_hashes(part, starts, ends, view)
         out["n_words"].append(np.diff(first))
         out["word_chars"].append(per_doc(~K._SEP[part] & ((part & 0xC0) != 0x80)))
         out["n_symbols"].append(per_doc(symbol[part]))
         # words in windows that the same text has twice
         room = K.room(first, len(starts))
-        wide = K.windows(K.window_sums(hashes), REPEAT_WORDS)
+        wide = K.windows(hashes, REPEAT_WORDS)
         whole = np.flatnonzero(room[: len(wide)] >= REPEAT_WORDS)
         doc = np.repeat(np.arange(n), np.diff(first))
         key = K.mix(wide[whole] ^ (doc[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -80,7 +80,7 @@ def measure_texts(texts: pa.Array) -> dict[str, np.ndarray]:
         begin, end, line_first = K.lines(part, at)
         owner = np.repeat(np.arange(n), np.diff(line_first))
         has = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
-        name = K.mix(K.span_hashes(sums, begin[has], end[has]) ^ (owner[has].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        name = K.mix(K.span_hashes(part, begin[has], end[has], view) ^ (owner[has].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         _, new = np.unique(name, return_index=True)
         filled = np.bincount(owner[has], minlength=n)
         out["n_lines"].append(filled)

@@ -4,9 +4,11 @@ All of them work on UTF-8 bytes. The separators of words (space, tab, LF, VT, FF
 are ASCII bytes, which never occur inside a longer UTF-8 sequence, so words found in
 bytes are the words ``[^\\x20\\x09-\\x0D]+`` of the text.
 
-Hashes are 64-bit polynomials (mod 2^64, random byte table, odd base) put through a
-finaliser. Equal byte strings have equal hashes; N different strings have about
-N^2 / 2^65 colliding pairs.
+Hashes are 64 bits, not linear anywhere: a span folds its bytes in eight at a time with a
+multiply-and-shift mix between (xxh3 beyond ``LANES`` of these), and a window is mixed from the two windows
+of half its length. N different strings have about N^2 / 2^65 colliding pairs, and no pattern of repetition
+makes one (sums of powers modulo 2^64 do collide on such patterns). Where results must be exact,
+``memo`` compares the bytes too.
 """
 
 from __future__ import annotations
@@ -15,34 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SLICE_BYTES = 1 << 20
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, size=256, dtype=np.uint64) * U(2) + U(1)
-_BASE = U(0x9E3779B97F4A7C15)
-_BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
-
-
-def _pow(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2^64; grown by doubling and kept."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(1 << 12, 1 << int(n - 1).bit_length())
-        have = np.empty(size, dtype=np.uint64)
-        have[0] = 1
-        done, step = 1, base
-        with np.errstate(over="ignore"):
-            while done < size:
-                have[done : 2 * done] = have[:done] * step
-                step = step * step
-                done *= 2
-        if size <= 1 << 22:
-            _powers[int(base)] = have
-    return have[:n]
+#: Eights of bytes up to which spans are hashed many at a time.
+LANES = 16
+_LANE, _LEFT, _RIGHT = U(0x9E3779B97F4A7C15), U(0xA0761D6478BD642F), U(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,46 +99,62 @@ def _runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, off).astype(np.int64)
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, for ``span_hashes``."""
-    out = np.zeros(len(data) + 1, np.uint64)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one integer; zeros stand behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ascontiguousarray(np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,)))
+
+
+def lanes(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The k-th eight bytes of spans, for k = 0, 1 and so on: which spans reach that far, and the bytes, zeros behind their ends."""
+    at, k = np.flatnonzero(sizes > 0), 0
+    while len(at):
+        left = sizes[at] - 8 * k
+        part = view[starts[at] + 8 * k]
+        cut = left < 8
+        part[cut] &= (U(1) << (left[cut].astype(U) * U(8))) - U(1)
+        yield at, part
+        k += 1
+        at = at[left > 8]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, view: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the bytes from each start to its end; ``view`` is what ``eights`` makes of data, if at hand."""
+    sizes = ends - starts
+    out = mix(sizes.astype(U) + _RIGHT)
+    wide = np.flatnonzero(sizes > 8 * LANES)
+    view = eights(data) if view is None else view
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[data] * _pow(_BASE, len(data)), out=out[1:])
+        for at, part in lanes(view, starts, np.where(sizes > 8 * LANES, 0, sizes)):
+            out[at] = mix((out[at] ^ part) * _LANE)
+    if len(wide):
+        body = memoryview(np.ascontiguousarray(data))
+        out[wide] = [xxhash.xxh3_64_intdigest(body[a:b]) for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True)]
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes from each start to its end."""
-    inv = _pow(_BASE_INV, len(sums))
+def joined(left: np.ndarray, right: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of two windows that begin ``apart`` words from each other."""
     with np.errstate(over="ignore"):
-        return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+        return mix(left * _LEFT + (right ^ (right >> U(29))) * _RIGHT + U(apart))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix(data), starts, ends)
-
-
-def window_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running sums over word hashes, for ``windows``."""
-    out = np.zeros(len(hashes) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(hashes * _pow(_BASE, len(hashes)), out=out[1:])
-    return out
-
-
-def windows(sums: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` words from each position on; positions run on over the ends of documents, so mask them with ``room``."""
-    n = max(0, len(sums) - length)
-    inv = _pow(_BASE_INV, n + 1)[:n]
-    with np.errstate(over="ignore"):
-        return mix((sums[length : length + n] - sums[:n]) * inv + U(length))
+def windows(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` words from each position on, by doubling; positions run on over the ends of documents, so mask them with ``room``."""
+    if len(hashes) < length:
+        return hashes[:0]
+    have, out = 1, hashes
+    while have * 2 <= length:
+        out = joined(out[: len(out) - have], out[have:], have)
+        have *= 2
+    rest = length - have
+    return joined(out[: len(out) - rest], out[rest:], rest) if rest else out
 
 
-def windows_at(sums: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
-    """``windows`` at chosen positions alone."""
-    inv = _pow(_BASE_INV, len(sums))
-    with np.errstate(over="ignore"):
-        return mix((sums[at + length] - sums[at]) * inv[at] + U(length))
+def word_sequence(body: bytes) -> bytes:
+    """128-bit hash of the words of a text, in order."""
+    return xxhash.xxh3_128_digest(b" ".join(body.split()))
 
 
 def room(first: np.ndarray, n_words: int) -> np.ndarray:

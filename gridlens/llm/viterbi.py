@@ -9,7 +9,8 @@ score minus ``PENALTY``, and falls back to its bytes.
 
 No piece reaches over a space (which turns into the mark that pieces start with), nor over
 a character that no piece holds, so the search runs per segment between these,
-each different segment once per worker, and whole texts are sums of their segments.
+each different segment once per worker (its bytes are compared, not its hash alone), and whole texts are sums of
+their segments.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlens.llm import textkit as K
 from gridlens.llm.blocks import _q, unpack
-from gridlens.llm.memo import Memo, grown
+from gridlens.llm.memo import Memo, grown, numbered
 from gridlens.llm.shared import bounded_batches
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -62,12 +63,7 @@ class Counter:
         self.parts_lines = "\n" not in held
         if any(MARK in p.lstrip(MARK) for p in names):
             raise ValueError("a piece has the mark inside; texts can't be parted at spaces")
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = Memo()
-        self.count = np.zeros(1 << 12, np.int64)
-        self.score = np.zeros(1 << 12, np.float64)
+        self.marked, self.bare = _Kept(), _Kept()
 
     def solve(self, text: str) -> tuple[int, float]:
         """Pieces and score of the best segmentation."""
@@ -100,18 +96,15 @@ class Counter:
         lines = np.flatnonzero(data == 0x0A) if self.parts_lines else np.zeros(0, np.int64)
         starts, ends, first = K._runs(~cut, off)
         marked = _follows(data, off, starts)
-        hashes = K.span_hashes(K.prefix(data), starts, ends)
-        hashes = np.where(marked, hashes, K.mix(hashes + K.U(1)))
-        number = self.known.find(hashes)
-        if len(missing := np.flatnonzero(number < 0)):
-            if self.known.n > KEPT:
-                self.forget()
-                missing = np.arange(len(hashes))
-            _, one = np.unique(hashes[missing], return_index=True)
-            one, body = missing[one], data.tobytes()
-            self.learn(hashes[one], [(MARK if m else "") + body[a:b].decode("utf-8", "replace") for a, b, m in zip(starts[one], ends[one], marked[one], strict=True)])
-            number[missing] = self.known.find(hashes[missing])
-        count, score = _sums(self.count[number], first), _sums(self.score[number], first)
+        # a segment is told apart by its bytes; those behind a mark and others have memos of their own
+        count, score = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.float64)
+        for head, kept in ((MARK, self.marked), ("", self.bare)):
+            at = np.flatnonzero(marked == bool(head))
+            if len(at):
+                count[at], score[at] = self.solved(kept, head, data, starts[at], ends[at])
+        owner = np.repeat(np.arange(len(off) - 1), np.diff(first))
+        count, score = (np.bincount(owner, x, len(off) - 1) for x in (count, score))
+        count = count.astype(np.int64)
         # spaces whose mark stands alone, and line feeds
         bare = _bare_spaces(data, off)
         for at, symbol in ((bare, MARK), (lines, "\n")):
@@ -127,13 +120,34 @@ class Counter:
             count, score = count + k * alone, score + s * alone
         return count, score
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = [self.solve(t) for t in texts]
-        n, new = self.known.n, len(texts)
-        self.count, self.score = grown(self.count, n + new), grown(self.score, n + new)
-        self.count[n : n + new] = [k for k, _ in found]
-        self.score[n : n + new] = [s for _, s in found]
-        self.known.add(hashes)
+    def solved(self, kept: _Kept, head: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and score of each segment; each different one is searched once and kept."""
+
+        def text(k: int) -> str:
+            return head + data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")
+
+        def learn(one: np.ndarray) -> None:
+            found, n = [self.solve(text(k)) for k in one], kept.memo.n
+            kept.count, kept.score = grown(kept.count, n + len(one)), grown(kept.score, n + len(one))
+            kept.count[n : n + len(one)] = [k for k, _ in found]
+            kept.score[n : n + len(one)] = [s for _, s in found]
+
+        if kept.memo.n > KEPT:
+            kept.__init__()
+        number, odd = numbered(kept.memo, data, starts, ends, learn)
+        count, score = kept.count[number], kept.score[number]
+        for k in odd:
+            count[k], score[k] = self.solve(text(k))
+        return count, score
+
+
+class _Kept:
+    """Segments and what was found for them."""
+
+    def __init__(self):
+        self.memo = Memo()
+        self.count = np.zeros(1 << 12, np.int64)
+        self.score = np.zeros(1 << 12, np.float64)
 
 
 def _spaced(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,11 +159,6 @@ def _spaced(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[first[1:]] - total[first[:-1]]
-
-
 def _follows(data: np.ndarray, off: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Segments that begin with the mark: those behind a space or at the start of a text."""
     head = np.zeros(len(data) + 1, bool)

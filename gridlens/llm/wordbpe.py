@@ -7,7 +7,7 @@ they stand, because this tokenizer's normaliser and splitter never look across o
   tasks of their own. Joining them, the window around a cut grows to the nearest separator on both sides,
   and only the word that the cut went through is encoded again.
 * Inside a part the leaves are words, and each different word is encoded once by the tokenizers
-  library itself and kept under a 64-bit hash.
+  library itself and kept; its bytes are compared, not a hash alone.
 * A run without a separator that is longer than ``LEAF`` bytes is split by the library's own normaliser
   and splitter; a piece of it that is still longer is cut into leaves, the leaves are merged
   independently of each other, and each join is mended: the tokens around it are encoded again as one
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlens.llm import textkit as K
 from gridlens.llm.blocks import _q, unpack
-from gridlens.llm.memo import Memo, grown
+from gridlens.llm.memo import Memo, grown, numbered
 from gridlens.llm.shared import bounded_batches
 
 VOCABULARY = "word_bpe_49k.json"
@@ -81,22 +81,29 @@ class WordBpe:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        if self.known.n > KEPT_WORDS:
+            self.forget()
         data = self.lowered(data, off)
         starts, ends, first = K.words(data, off)
-        hashes = K.word_hashes(data, starts, ends)
-        found = self.known.find(hashes)
-        if len(missing := np.flatnonzero(found < 0)):
-            if self.known.n > KEPT_WORDS:
-                self.forget()
-                missing = np.arange(len(hashes))
-            _, one = np.unique(hashes[missing], return_index=True)
-            one = missing[one]
-            body = data.tobytes()
-            self.learn(hashes[one], [body[a:b] for a, b in zip(starts[one], ends[one], strict=True)])
-            found[missing] = self.known.find(hashes[missing])
-        size = self.at[found + 1] - self.at[found]
+
+        def word(k: int) -> str:
+            return data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")
+
+        found, odd = numbered(self.known, data, starts, ends, lambda one: self.learn([word(k) for k in one]))
+        size = self.at[found + 1] - self.at[found] if len(found) else np.zeros(0, np.int64)
+        apart = self.solve([word(k) for k in odd])
+        size[odd] = [len(x) for x in apart]
         edge = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.arange(edge[-1]) + np.repeat(self.at[found] - edge[:-1], size)].astype("<u4").tobytes()
+        begin = self.at[found]
+        begin[odd] = 0
+        if len(odd):
+            room = int(size[odd].max())
+            if room > len(self.pool):
+                self.pool = grown(self.pool, room)
+        ids = self.pool[np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)]
+        for k, x in zip(odd, apart, strict=True):
+            ids[edge[k] : edge[k + 1]] = x
+        ids = ids.astype("<u4").tobytes()
         cuts = 4 * edge[first]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -112,9 +119,19 @@ class WordBpe:
         upper = (data >= 0x41) & (data <= 0x5A) & np.repeat(plain, np.diff(off))
         return data + (upper.view(np.uint8) << 5)
 
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Encodes words by the library, long ones by the tree, and keeps the ids."""
-        texts = [w.decode("utf-8", "replace") for w in words]
+    def learn(self, texts: list[str]) -> None:
+        """Keeps the ids of new words, behind those of the words known so far."""
+        found = self.solve(texts)
+        n, new = self.known.n, len(texts)
+        self.at = grown(self.at, n + new + 1)
+        ids = np.concatenate([np.asarray(x, np.uint32) for x in found])
+        begin = self.at[n]
+        self.pool = grown(self.pool, begin + len(ids))
+        self.pool[begin : begin + len(ids)] = ids
+        self.at[n + 1 : n + new + 1] = begin + np.cumsum(np.fromiter(map(len, found), np.int64, new))
+
+    def solve(self, texts: list[str]) -> list:
+        """Ids of words: by the library, of long ones by the tree."""
         found: list = [None] * len(texts)
         # A word of plain letters is one piece to the splitter, and marks behind it are a second; every
         # piece's last token has the end mark. So such words are encoded many to a text and told apart.
@@ -135,14 +152,7 @@ class WordBpe:
             done = iter(self.tok.encode_batch_fast([texts[k] for k in some if len(texts[k]) <= self.leaf], add_special_tokens=False))
             for k in some:
                 found[k] = next(done).ids if len(texts[k]) <= self.leaf else self.long(texts[k])
-        n, new = self.known.n, len(words)
-        self.at = grown(self.at, n + new + 1)
-        ids = np.concatenate([np.asarray(x, np.uint32) for x in found])
-        begin = self.at[n]
-        self.pool = grown(self.pool, begin + len(ids))
-        self.pool[begin : begin + len(ids)] = ids
-        self.at[n + 1 : n + new + 1] = begin + np.cumsum(np.fromiter(map(len, found), np.int64, new))
-        self.known.add(hashes)
+        return found
 
     def long(self, run: str) -> list[int]:
         """Ids of a long run without separators."""
