@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlens.llm import linededup, mixing, neardup, quality, wordbpe
-from gridlens.llm.neardup import _stored
+from gridlens.llm.shared import dropped, stored
 
 #: Seeded block selection and the tokenizer have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None
@@ -29,12 +29,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of recurring templates beyond the first document's."""
-    return _as(docs, linededup.drop_recurring(docs, general=True))
+    return _as(docs, linededup.drop_recurring(docs, keep_first=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, without long lines that an earlier one of them holds."""
-    return _as(docs, linededup.drop_repeated(_stored(neardup.keep_one(docs), "near", even=False)))
+    return _as(docs, linededup.drop_repeated(stored(neardup.keep_one(docs), "near", even=False)))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = _stored(stage(spark, docs, sf_dir), name, even=False)
+        docs = stored(stage(spark, docs, sf_dir), name, even=False)
     return STAGES[-1][1](spark, docs, sf_dir)
