@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridlens.llm import quality as Q
 
@@ -35,15 +36,31 @@ def test_random_texts(spark):
 
 def test_prior():
     assert Q.beta_prior(None, None, None, None, 0) == (1.0, 1.0)
-    a, b = Q.beta_prior(400.0, 40.0, 4 * 10.0 * 10.0 / 100, 40000.0, 4)
+    alike = (400.0, 40.0, 4 * 10.0 * 10.0 / 100, 40000.0, 4)
+    a, b = Q.beta_prior(*alike, sure=0.0)
     assert a / (a + b) == pytest.approx(0.1) and a + b >= 1e8  # hosts alike: the prior rules
+    many = (4e6, 4e5, 40_000 * 10.0 * 10.0 / 100, 4e8, 40_000)
+    assert sum(Q.beta_prior(*many)) > 100 * 100  # more so if they are many, however sure
     a, b = Q.beta_prior(400.0, 100.0, 100.0 * 100.0 / 100, 40000.0, 4)
     assert a / (a + b) == pytest.approx(0.25) and a + b < 10  # hosts far apart: each speaks for itself
 
 
+def test_verdict_decides_on_documents(documents):
+    """Documents with many repeats moved to one host: its verdict costs a document that others may keep."""
+    moved = documents.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit("moved")).otherwise(F.col("source")))
+    junk = Q.measured(moved).where("100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * n_words").select("doc_id", F.lit("junk.example").alias("host"))
+    borderline = " ".join(f"plain{k}" for k in range(99)) + " a b c d e" * 4  # 16 % repeated: within the rules, not within the strict ones
+    spark = documents.sparkSession
+    more = spark.createDataFrame([(900_001, borderline, "junk.example"), (900_002, borderline, "good.example")], "doc_id long, text string, source string")
+    docs = moved.join(junk, "doc_id", "left").select("doc_id", "text", F.coalesce("host", "source").alias("source")).unionByName(more)
+    got = {r.doc_id: r for r in Q.judge(docs).collect()}
+    assert got[900_001].host_bad and not got[900_001].kept and not got[900_001].base_failed
+    assert not got[900_002].host_bad and got[900_002].kept
+
+
 def test_bad_host(spark):
     clean = " ".join(f"word{k}" for k in range(60))
-    light = clean + " ###" + " #" * 2  # 5 symbols: within the rules, not within the strict ones
+    light = clean + " ###" + " #" * 2  # 5 symbols in 63 words: within the rules, not within the strict ones
     rows = [(k, "junk", "bad.example", 0) for k in range(50)] + [(50, clean, "bad.example", 0), (51, light, "bad.example", 0)]
     rows += [(100 + k, clean, "good.example", 0) for k in range(80)] + [(190, light, "good.example", 0), (191, "junk", "rare.example", 0), (192, light, None, 0)]
     got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, source string, host_bad int")).collect()}
