@@ -1,20 +1,26 @@
 """Exact BPE encoding and decoding by tree concatenation.
 
-A text is a tree of parts. Where a cut falls on a separator both sides are right as
-they stand, because this tokenizer's normaliser and splitter never look across one. So:
-
-* A text of more than ``PART`` bytes is cut, wherever the bytes fall, into parts that are encoded in
-  tasks of their own. Joining them, the window around a cut grows to the nearest separator on both sides,
-  and only the word that the cut went through is encoded again.
-* Inside a part the leaves are words, and each different word is encoded once by the tokenizers
-  library itself and kept; its bytes are compared, not a hash alone.
-* A run without a separator that is longer than ``LEAF`` bytes is split by the library's own normaliser
-  and splitter; a piece of it that is still longer is cut into leaves, the leaves are merged
-  independently of each other, and each join is mended: the tokens around it are encoded again as one
+A text is a tree of parts. What a cut may do depends on its two neighbours, because the normaliser and
+the splitter of this tokenizer look no further:
+
+* At a separator, and between plain characters of different classes (letters, digits, marks) or two digits, both
+  sides are right as they stand. Such a cut is *closed*.
+* Between two plain letters, or two plain marks, both sides are normalised right, but one piece of the
+  splitter goes through. Such a cut is *open*: each side's piece is merged as far as it goes, without the mark of a
+  word's end on the left one, and the two are joined: the tokens around the cut are merged again as one
   window, which grows until its first and last tokens are those that the two sides already had.
   Neighbouring tokens are then compatible everywhere, which is what makes a BPE encoding the encoding.
 
-The vocabulary file is a parameter; it is read on each worker once and kept.
+A text of more than ``PART`` characters is cut into parts, at separators where there are some and at open cuts inside long
+unsplit runs, and parts are encoded in tasks of their own. Texts with open cuts are joined two neighbours at
+a time, level by level, each level a table in the shared folder. Inside a part words are leaves: each different word is
+encoded once by the tokenizers library itself and kept (its bytes are compared, not a hash alone); a piece of more than
+``LEAF`` symbols is cut into leaves that are merged independently and joined as above.
+
+Only in a run with no two neighbouring plain characters over a whole part (say, of letters with separate accents alone) is
+no cut found there; the part then goes on to the next place that has one.
+The vocabulary file is a parameter, but its normaliser and splitter must be those of ``NORMALISER`` and ``SPLITTER``;
+it is read on each worker once and kept.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -33,12 +40,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gridlens.llm import textkit as K
 from gridlens.llm.blocks import _q, unpack
 from gridlens.llm.memo import Memo, grown, numbered
-from gridlens.llm.shared import bounded_batches
+from gridlens.llm.shared import bounded_batches, dropped, stored
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of a run without a separator from which it is cut, and symbols of a leaf.
 LEAF = 1024
-#: Bytes of a text from which its parts are encoded in tasks of their own, and of such a part.
+#: Characters of a text from which its parts are encoded in tasks of their own, and of such a part.
 PART = 1 << 16
 #: Words that a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 2_000_000
@@ -46,6 +53,21 @@ KEPT_WORDS = 2_000_000
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+([.,;:!?]*)")
 _encoders: dict[tuple[str, int], WordBpe] = {}
 
+# The normaliser and splitter for which cuts are right.
+NORMALISER = [("NFC",), ("Replace", r"\s+", " "), ("Lowercase",)]
+SPLITTER = [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel",)]
+
+SEPARATORS = " \t\n\x0b\x0c\r"
+#: Plain letters: no normaliser joins two of them. Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, ideographs, Hangul.
+LETTERS = "A-Za-z\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0905-\u0928\u092a-\u0930\u0e01-\u0e2e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fd0\uac00-\ud7a3"
+#: Plain marks: those of ASCII but what contractions and special tokens are written with.
+MARKS = re.escape("!\"#$%&()*+,-./:;=?@[\\]^_`{}~")
+_SEPARATOR = re.compile(f"[{SEPARATORS}]")
+#: Between plain characters; contractions end within three characters of their apostrophe.
+_PLAIN_CUT = re.compile(f"(?<=[{LETTERS}{MARKS}0-9]{{4}})(?=[{LETTERS}{MARKS}0-9])")
+_CLOSED = re.compile(f"[{SEPARATORS}]|(?<=[{LETTERS}])(?=[{MARKS}0-9])|(?<=[{MARKS}])(?=[{LETTERS}0-9])|(?<=[0-9])(?=[{LETTERS}{MARKS}0-9])")
+_LETTER, _MARK = re.compile(f"[{LETTERS}]"), re.compile(f"[{MARKS}]")
+
 
 def encoder(path: str, leaf: int = LEAF) -> WordBpe:
     if (path, leaf) not in _encoders:
@@ -53,11 +75,28 @@ def encoder(path: str, leaf: int = LEAF) -> WordBpe:
     return _encoders[path, leaf]
 
 
+def check_rules(path: str) -> None:
+    """Refuses a vocabulary whose normaliser or splitter is another."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+
+    def steps(rule: dict | None, names: str) -> list[tuple]:
+        out = []
+        for x in (rule or {}).get(names) or ([rule] if rule else []):
+            pattern = x.get("pattern") or {}
+            out.append((x["type"], *([pattern["Regex"]] if "Regex" in pattern else []), *([x["content"]] if "content" in x else [])))
+        return out
+
+    if steps(held["normalizer"], "normalizers") != NORMALISER or steps(held["pre_tokenizer"], "pretokenizers") != SPLITTER or held["model"].get("type") != "BPE":
+        raise ValueError(f"{path} normalises or splits texts otherwise than this operator can cut them")
+
+
 class WordBpe:
     def __init__(self, path: str, leaf: int = LEAF):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        check_rules(path)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -154,20 +193,27 @@ class WordBpe:
                 found[k] = next(done).ids if len(texts[k]) <= self.leaf else self.long(texts[k])
         return found
 
-    def long(self, run: str) -> list[int]:
-        """Ids of a long run without separators."""
-        out: list[int] = []
+    def pieces(self, run: str) -> list[int | str]:
+        """Ids of special tokens, and the splitter's pieces between them."""
+        out: list[int | str] = []
         for part in self.cut.split(run):
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part)):
-                    if len(piece) <= self.leaf:
-                        out += [t.id for t in self.tok.model.tokenize(piece)]
-                    else:
-                        out += [i for i, _ in self.tree(self.symbols(piece))]
+                out += [piece for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part))]
         return out
 
+    def piece_ids(self, piece: int | str, ended: bool = True) -> list[int]:
+        if isinstance(piece, int):
+            return [piece]
+        if ended and len(piece) <= self.leaf:
+            return [t.id for t in self.tok.model.tokenize(piece)]
+        return self.tree(self.symbols(piece, ended))
+
+    def long(self, run: str) -> list[int]:
+        """Ids of a long run without separators."""
+        return [i for piece in self.pieces(run) for i in self.piece_ids(piece)]
+
     def _marked_ends(self) -> np.ndarray | None:
         """Which ids end a piece; None if the vocabulary has no mark for that, or splits letters otherwise than expected."""
         suffix = getattr(self.tok.model, "end_of_word_suffix", None)
@@ -189,54 +235,115 @@ class WordBpe:
             self._vocab = vocab
         return self._merges
 
-    def symbols(self, piece: str) -> list[int]:
+    def symbols(self, piece: str, ended: bool = True) -> list[int]:
         self.merges  # noqa: B018  reads the vocabulary
-        return [self._vocab[c] for c in piece[:-1]] + [self._vocab[piece[-1] + self._suffix]]
+        return [self._vocab[c] for c in piece[:-1]] + [self._vocab[piece[-1] + (self._suffix if ended else "")]]
 
-    def merge(self, symbols: list[int]) -> list[tuple[int, int]]:
-        """Plain BPE over symbols: least rank first, leftmost of equals. Pairs of id and number of symbols."""
+    def spelled(self, ids: list[int]) -> list[int]:
+        """The symbols that tokens are made of."""
+        out: list[int] = []
+        for i in ids:
+            name = self.tok.id_to_token(i)
+            ended = name.endswith(self._suffix) and len(name) > len(self._suffix)
+            out += self.symbols(name.removesuffix(self._suffix) if ended else name, ended)
+        return out
+
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Plain BPE over symbols: least rank first, leftmost of equals."""
         merges, n = self.merges, len(symbols)
-        ids, size = list(symbols), [1] * n
+        ids, live = list(symbols), [True] * n
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
         while heap:
             rank, i, new = heapq.heappop(heap)
             j = after[i]
-            if not size[i] or j >= n or merges.get((ids[i], ids[j])) != (rank, new):
+            if not live[i] or j >= n or merges.get((ids[i], ids[j])) != (rank, new):
                 continue
-            ids[i], size[i], size[j] = new, size[i] + size[j], 0
+            ids[i], live[j] = new, False
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (m := merges.get((ids[a], ids[b]))):
                     heapq.heappush(heap, (m[0], a, m[1]))
-        return [(ids[i], size[i]) for i in range(n) if size[i]]
+        return [ids[i] for i in range(n) if live[i]]
 
-    def tree(self, symbols: list[int]) -> list[tuple[int, int]]:
+    def tree(self, symbols: list[int]) -> list[int]:
         """Leaves first, then joins level by level."""
         row = [self.merge(symbols[k : k + self.leaf]) for k in range(0, len(symbols), self.leaf)]
-        at = 0
         while len(row) > 1:
-            wider, at = [], 0
-            for k in range(0, len(row) - 1, 2):
-                size = sum(s for _, s in row[k])
-                wider.append(self.join(symbols, at, row[k], row[k + 1], at + size))
-                at += size + sum(s for _, s in row[k + 1])
-            row = wider + row[len(row) - len(row) % 2 :]
+            row = [self.join(row[k], row[k + 1]) for k in range(0, len(row) - 1, 2)] + row[len(row) - len(row) % 2 :]
         return row[0]
 
-    def join(self, symbols: list[int], start: int, left: list, right: list, middle: int) -> list[tuple[int, int]]:
-        """Tokens of two neighbours as one; ``middle`` is the symbol at which they meet."""
+    def join(self, left: list[int], right: list[int]) -> list[int]:
+        """Tokens of two neighbours inside one piece as one."""
         width = 4
-        while True:
+        while left and right:
             a, b = max(0, len(left) - width), min(len(right), width)
-            lo = middle - sum(s for _, s in left[a:])
-            window = self.merge(symbols[lo : middle + sum(s for _, s in right[:b])])
+            window = self.merge(self.spelled(left[a:]) + self.spelled(right[:b]))
             if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1] == right[b - 1]):
                 return left[:a] + window + right[b:]
             width *= 2
+        return left + right
+
+    # -- parts of long texts ----------------------------------------------------
+
+    def cuts(self, text: str, part: int) -> list[tuple[int, bool]]:
+        """Where parts of about ``part`` characters end, and whether that cut is open."""
+        out, at = [], part
+        while at < len(text):
+            near = _SEPARATOR.search(text, at, at + part // 4)
+            m = near or next((m for m in _PLAIN_CUT.finditer(text, at) if not self._inside(text, m.start())), None) or _SEPARATOR.search(text, at)
+            if not near and m and (first := _SEPARATOR.search(text, at, m.start() + 1)):
+                m = first
+            if m is None or m.end() >= len(text):
+                break
+            end = m.end()
+            both = text[end - 1 : end + 1]
+            out.append((end, any(len(kind.findall(both)) == 2 for kind in (_LETTER, _MARK))))
+            at = end + part
+        return [*out, (len(text), False)]
+
+    def _inside(self, text: str, at: int) -> bool:
+        """Whether a special token's string goes through a place."""
+        return any(x in text[max(0, at - len(x) + 1) : at + len(x) - 1] for x in self.added)
+
+    def segment(self, text: str, left: bool, right: bool) -> Segment:
+        """A part between cuts of which the left or the right may be open."""
+        if not left and not right:
+            return Segment(b"", self.ids(text.encode()), b"", False)
+        closed = [m.end() for m in _CLOSED.finditer(text) if m.end()]
+        if not closed:
+            return self._fragment(text, left, right)
+        a, b = closed[0] if left else 0, closed[-1] if right else len(text)
+        head = self._fragment(text[:a], left, False)
+        tail = self._fragment(text[b:], False, right)
+        return Segment(head.head, head.body + self.ids(text[a:b].encode()) + tail.body, tail.tail, False)
+
+    def _fragment(self, text: str, left: bool, right: bool) -> Segment:
+        pieces = self.pieces(text)
+        if not pieces:
+            return Segment(b"", b"", b"", False)
+        if left and right and len(pieces) == 1:
+            return Segment(packed(self.piece_ids(pieces[0], False)), b"", b"", True)
+        inner = pieces[left : len(pieces) - right] if len(pieces) > 1 else [] if left or right else pieces
+        return Segment(
+            packed(self.piece_ids(pieces[0])) if left else b"",
+            packed([i for x in inner for i in self.piece_ids(x)]),
+            packed(self.piece_ids(pieces[-1], False)) if right else b"",
+            False,
+        )
+
+    def together(self, a: Segment, b: Segment) -> Segment:
+        """Two neighbours as one."""
+        self.merges  # noqa: B018  reads the vocabulary
+        seam = packed(self.join(unpacked(a.head if a.whole else a.tail), unpacked(b.head)))
+        if a.whole:
+            return Segment(seam, b.body, b.tail, b.whole)
+        if b.whole:
+            return Segment(a.head, a.body, seam, False)
+        return Segment(a.head, a.body + seam + b.body, b.tail, False)
 
     # -- decoding ---------------------------------------------------------------
 
@@ -264,73 +371,97 @@ def token_batches(batch: pa.RecordBatch, column: str, bpe: WordBpe) -> Iterator[
         yield batch.slice(lo, hi - lo), bpe.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
 
 
-def _cuts(body: bytes, part: int) -> list[bytes]:
-    """Parts of about ``part`` bytes, cut between characters."""
-    out, at = [], 0
-    while at < len(body):
-        end = min(len(body), at + part)
-        while end < len(body) and body[end] & 0xC0 == 0x80:
-            end += 1
-        out.append(body[at:end])
-        at = end
-    return out
+class Segment(NamedTuple):
+    """A run of parts: ids of the piece that an open left cut goes through, of what stands between, and of the piece at an open right cut. ``whole``: all of it is one piece between two open cuts, and in ``head``."""
 
+    head: bytes
+    body: bytes
+    tail: bytes
+    whole: bool
 
-_INNER = re.compile(rb"[ \t\n\x0b\x0c\r](?:.*[ \t\n\x0b\x0c\r])?", re.DOTALL)
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
-def long_texts(packed: DataFrame, path: str, leaf: int, part: int) -> DataFrame:
-    """row and ids of long texts: parts are encoded apart from each other and joined per text.
 
-    A part without a separator joins its neighbours as text; the run that they make is encoded where it is joined.
-    """
-    row = packed.schema["row"]
-    cut_schema = T.StructType([row, T.StructField("key", T.LongType()), T.StructField("place", T.LongType()), T.StructField("part", T.BinaryType())])
-    part_schema = T.StructType([row, T.StructField("key", T.LongType()), T.StructField("place", T.LongType()), T.StructField("head", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("tail", T.BinaryType())])
-    made = T.StructType([row, T.StructField("ids", T.BinaryType())])
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
+
+
+def long_texts(packed: DataFrame, path: str, leaf: int, part: int) -> DataFrame:
+    """row and ids of long texts: parts are encoded apart from each other and joined, two neighbours at a time where a piece goes through a cut."""
+    spark, row = packed.sparkSession, packed.schema["row"]
+    keys = [T.StructField("key", T.LongType()), T.StructField("place", T.LongType()), T.StructField("parts", T.LongType()), T.StructField("open", T.BooleanType())]
+    cut_schema = T.StructType([row, *keys, T.StructField("left", T.BooleanType()), T.StructField("right", T.BooleanType()), T.StructField("part", T.StringType())])
+    seg_schema = T.StructType([row, *keys, *[T.StructField(c, T.BinaryType()) for c in ("head", "body", "tail")], T.StructField("whole", T.BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path, leaf)
         for batch in batches:
             for k in range(batch.num_rows):
-                parts = _cuts(batch["text"][k].as_buffer().to_pybytes(), part)
-                rows = batch["row"].take(pa.array([k] * len(parts)))
-                yield pa.RecordBatch.from_arrays([rows, pa.array([batch["key"][k].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=cut_schema.names)
+                text = batch["text"][k].as_buffer().to_pybytes().decode("utf-8", "replace")
+                ends = bpe.cuts(text, part)
+                n, at, before = len(ends), 0, False
+                made_open = any(is_open for _, is_open in ends)
+                for lo in range(0, n, 64):
+                    some = ends[lo : lo + 64]
+                    rows = batch["row"].take(pa.array([k] * len(some)))
+                    starts = [at, *[e for e, _ in some[:-1]]]
+                    lefts = [before, *[o for _, o in some[:-1]]]
+                    at, before = some[-1]
+                    yield pa.RecordBatch.from_arrays(
+                        [rows, pa.array([batch["key"][k].as_py()] * len(some), pa.int64()), pa.array(range(lo, lo + len(some)), pa.int64()), pa.array([n] * len(some), pa.int64()), pa.array([made_open] * len(some)), pa.array(lefts), pa.array([o for _, o in some]), pa.array([text[a:b] for a, (b, _) in zip(starts, some, strict=True)], pa.string())],
+                        names=cut_schema.names,
+                    )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, leaf)
         for batch in batches:
-            heads, ids, tails = [], [], []
-            for body in batch["part"].to_pylist():
-                m = _INNER.search(body)
-                # without a separator the part is all head, and ids are null
-                heads.append(body[: m.start()] if m else body)
-                ids.append(bpe.ids(m[0]) if m else None)
-                tails.append(body[m.end() :] if m else b"")
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["key"], batch["place"], pa.array(heads, pa.binary()), pa.array(ids, pa.binary()), pa.array(tails, pa.binary())], names=part_schema.names)
-
-    def join(table: pa.Table) -> pa.Table:
-        bpe, out, window = encoder(path, leaf), [], b""
+            for k in range(batch.num_rows):
+                x = bpe.segment(batch["part"][k].as_py(), batch["left"][k].as_py(), batch["right"][k].as_py())
+                some = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*[some[c] for c in ("row", "key", "place", "parts", "open")], *[pa.array([v], pa.binary()) for v in x[:3]], pa.array([x.whole])], names=seg_schema.names)
+
+    def segments(table: pa.Table) -> list[Segment]:
+        return [Segment(*x) for x in zip(*[table[c].to_pylist() for c in Segment._fields], strict=True)]
+
+    def two(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
-        for head, ids, tail in zip(table["head"].to_pylist(), table["ids"].to_pylist(), table["tail"].to_pylist(), strict=True):
-            window += head
-            if ids is not None:
-                out += [bpe.ids(window), ids]
-                window = tail
-        out.append(bpe.ids(window))
-        return pa.table({"row": table["row"].slice(0, 1), "ids": pa.array([b"".join(out)], pa.binary())})
+        some = segments(table)
+        x = encoder(path, leaf).together(*some) if len(some) == 2 else some[0]
+        lead = table.slice(0, 1)
+        return pa.table([lead["row"], lead["key"], pa.array([lead["place"][0].as_py() >> 1], pa.int64()), lead["parts"], lead["open"], *[pa.array([v], pa.binary()) for v in x[:3]], pa.array([x.whole])], names=seg_schema.names)
+
+    def all_closed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        return pa.table({"row": table["row"].slice(0, 1), "ids": pa.array([b"".join(table["body"].to_pylist())], pa.binary())})
 
     keyed = packed.select("row", "text", F.monotonically_increasing_id().alias("key"))
-    parts = keyed.mapInArrow(cut, cut_schema).repartition("key", "place").mapInArrow(encode, part_schema)
-    return parts.groupBy("key").applyInArrow(join, made)
+    parts = keyed.mapInArrow(cut, cut_schema).repartition("key", "place").mapInArrow(encode, seg_schema)
+    found = stored(parts, "parts", even=False)
+    # what is read back may be null
+    row, seg_schema = found.schema["row"], found.schema
+    made = T.StructType([row, T.StructField("ids", T.BinaryType())])
+    closed = found.where("NOT open").groupBy("key").applyInArrow(all_closed, made)
+    most = found.where("open").agg(F.max("parts")).first()[0] or 0
+    if not most:
+        return closed
+    joined = found.where("open")
+    for _ in range((most - 1).bit_length()):
+        before, joined = joined, stored(joined.groupBy("key", F.shiftright("place", 1)).applyInArrow(two, seg_schema), "parts", even=False)
+        dropped(before)
+    return closed.unionByName(joined.select("row", F.concat("head", "body", "tail").alias("ids")))
 
 
 def round_trip(df: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None, leaf: int = LEAF, part: int = PART) -> DataFrame:
-    """Encodes every whole text and decodes the ids again; only the parts of texts of more than ``part`` bytes are shuffled.
+    """Encodes every whole text and decodes the ids again; only the parts of texts of more than ``part`` characters are shuffled.
 
     Returns the columns ``keep`` (all but ``text`` by default), ids (binary: little-endian
     unsigned 32-bit integers), n_tokens and decoded. Columns named like an output are
     replaced by it. Null and empty texts, and texts of separators alone, have no ids and
-    decode to "". Rows may repeat; an empty table gives an empty result.
+    decode to "". Rows may repeat; an empty table gives an empty result. A vocabulary of other rules raises ValueError.
+
+    Parts of long texts are encoded and written to the shared folder when this is called; the rest is lazy.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     path = vocabulary or public_tokenizers.path(VOCABULARY)
@@ -354,9 +485,11 @@ def round_trip(df: DataFrame, text: str = "text", keep: list[str] | None = None,
             for k in range(batch.num_rows):
                 yield spelled(batch["row"].slice(k, 1), [batch["ids"][k].as_py()], bpe)
 
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    check_rules(path)
+    size = F.coalesce(F.length("text"), F.lit(0))
     short = packed.where(size <= part).mapInArrow(whole, made)
-    long = long_texts(packed.where(size > part), path, leaf, part).mapInArrow(decode, made)
+    long = long_texts(packed.where(size > part), path, leaf, part)
+    long = long.mapInArrow(decode, T.StructType([long.schema["row"], *made.fields[1:]]))
     return unpack(short.unionByName(long), keep, made.names[1:])
 
 
