@@ -3,7 +3,8 @@
 Documents are sorted by id and encoded; each task cuts its range into shards of about
 ``SHARD_IDS`` ids. In a shard frequent pairs of neighbouring ids are replaced by new
 ids (nonterminals), round after round, from the most frequent down: a round replaces the
-pairs that occur at least a quarter as often as the most frequent one. A pair never crosses
+pairs that occur at least a quarter as often as the most frequent one, and the last round is the one that finds no pair
+``MIN_COUNT`` times. A pair never crosses
 the end of a document, so each document is a range of the compressed sequence.
 
 A file is a Parquet row per shard: part, shard, start (ids before it in its part),
@@ -34,7 +35,8 @@ from gridlens.llm.shared import bounded_batches, fresh_path
 
 SHARD_IDS = 1 << 20
 END_ID = 2
-MIN_COUNT = 24
+#: A rule costs its two sides, so a pair pays from three occurrences on; at two, files grow again.
+MIN_COUNT = 3
 _HEAD = struct.Struct("<4sIIQ")
 _HASH_BITS = 20
 
