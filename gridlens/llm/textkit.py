@@ -87,9 +87,12 @@ def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, first
 
 
-def _runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(inside: np.ndarray, off: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes inside; a run also ends before each byte of ``cuts``."""
     edge = np.zeros(len(inside) + 1, dtype=bool)
     edge[off] = True
+    if cuts is not None:
+        edge[:-1] |= cuts
     before = np.zeros(len(inside), dtype=bool)
     before[1:] = inside[:-1]
     after = np.zeros(len(inside), dtype=bool)
