@@ -11,12 +11,15 @@ or more, and classes are the connected components of links.
    member, the one with the most company over all its buckets, which in a
    group of variants is the one nearest to the rest. A star has one row a member.
 3. Components of those links. In a bucket whose other members still lie in several
-   components, pairs from different components are compared in blocks: signatures first
-   (pairs that agree too seldom for the threshold are left out), then exactly; a pair is seen
+   components, signatures of pairs from different components are compared first, ``SIGNATURES`` members against as many
+   (pairs that agree too seldom for the threshold are left out, by ``SLACK`` standard deviations or, if that is None, not at all).
+   Only members that have such a pair bring their texts, and are compared exactly, in blocks of ``CHUNK`` members and
+   ``CHUNK_BYTES`` of text; a pair is seen
    in its first common band only, and pairs already connected are skipped. A block gives
    at most one link a member, so rows stay in proportion to members even in a
-   group of thousands; only comparisons grow with the square, and only between
-   components that stars left apart.
+   group of thousands; what grows with the square are comparisons, between components that stars left apart,
+   and copies of rows by the number of blocks: of signatures one for ``SIGNATURES`` members, of texts, where signatures leave
+   pairs open, one for ``CHUNK``.
 
 Every link is checked on whole texts. What the steps share is written to the shared
 folder, so a lost executor costs its tasks alone; nothing of the corpus is collected.
@@ -36,9 +39,10 @@ from gridlens.llm.shared import bounded_batches, dropped, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 K_DARTS, ROWS = 80, 4
-#: Members of a bucket that are compared at once, and standard deviations by which a pair's
-#: signatures may agree less than the threshold says.
-CHUNK, SLACK = 512, 4.5
+#: Members of a bucket whose texts are compared at once, and their bytes; members whose signatures are.
+CHUNK, CHUNK_BYTES, SIGNATURES = 512, 8 << 20, 4096
+#: Standard deviations by which a pair's signatures may agree less than the threshold says.
+SLACK = 4.5
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,25 +120,27 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels")
+    last = labels
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         met = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         met = stored(met, "labels")
         up = met.select(F.col("node").alias("up_node"), F.col("comp").alias("up"))
         new = stored(met.join(up, met["comp"] == up["up_node"]).select("node", "was", F.least("comp", "up").alias("comp")), "labels")
-        labels = new.select("node", "comp")
+        dropped(met, last)
+        labels, last = new.select("node", "comp"), new
         if new.where("was <> comp").isEmpty():
+            dropped(both)
             return labels
 
 
-def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold: float = THRESHOLD, chunk: int = CHUNK, slack: float | None = SLACK) -> DataFrame:
     """One row per document: id and mark, and class_id and class_mark, those of the least (id, mark) of its class.
 
     A document without words (null, empty, separators) is linked to nothing and is a class of
     its own. Null ids sort first. Rows may repeat and then share a class. Other columns play no part.
-    An empty table gives an empty result.
+    An empty table gives an empty result. ``slack`` None compares all pairs of a bucket on whole texts.
     """
-    spark = df.sparkSession
     rows = stored(signed(df, text, order), "signatures")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.max(F.struct("bands", "sig")).alias("s"))
     nodes = stored(nodes.select("node", "first", "s.bands", "s.sig"), "nodes")
@@ -176,42 +182,58 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold:
         return left.join(known, left["node"] == known["c_node"], "left").drop("c_node").withColumn("comp", F.coalesce("comp", "node"))
 
     rest = labelled(seated.where("node <> centre"), comps)
-    apart = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
-    held = rest.select("bucket", "node", "comp").join(apart, "bucket")
-    n_chunks = F.ceil(F.col("size") / F.lit(chunk))
-    mine = F.pmod(F.xxhash64("node"), n_chunks)
-    # chunk i meets chunk j in the cell (least, greatest) of the two
-    held = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)))
-    held = held.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp")
-    held = held.join(nodes.select("node", "bands", "sig"), "node").join(texts, "node")
-    least = threshold * K_DARTS - SLACK * (threshold * (1 - threshold) * K_DARTS) ** 0.5
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        sets = _each(table["text"])
-        weight = np.array([s[1].sum() for s in sets])
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(sets), -1)
-        bands = np.array(table["bands"].to_pylist(), np.int64)
-        band = int(np.flatnonzero((bands == bucket).all(axis=0))[0])
-        side = np.asarray(table["mine"])
-        lo, hi = key[1].as_py(), key[2].as_py()
-        node = table["node"].to_pylist()
-        name: dict[bytes, int] = {}
-        top = np.array([name.setdefault(c, len(name)) for c in table["comp"].to_pylist()])
-        found = []
-        for x in range(len(sets)):
-            ok = top != top[x]
-            if lo == hi:
+    apart = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("size") / F.lit(max(chunk, SIGNATURES * chunk // CHUNK))).alias("n_chunks"))
+
+    def dealt(left: DataFrame) -> DataFrame:
+        """Members with their cells: chunk i meets chunk j in the cell (least, greatest) of the two."""
+        left = left.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n_chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
+        left = left.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp")
+        return left.join(nodes.select("node", "bands", "sig"), "node")
+
+    least = -1.0 if slack is None else threshold * K_DARTS - slack * (threshold * (1 - threshold) * K_DARTS) ** 0.5
+
+    class Cell:
+        """Members of a cell; ``candidates``: of member x those that it is to be compared with."""
+
+        def __init__(self, key: tuple, table: pa.Table):
+            self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(table), -1)
+            self.bands = np.array(table["bands"].to_pylist(), np.int64)
+            self.band = int(np.flatnonzero((self.bands == key[0].as_py()).all(axis=0))[0])
+            self.side, self.lo, self.hi = np.asarray(table["mine"]), key[1].as_py(), key[2].as_py()
+            name: dict[bytes, int] = {}
+            self.top = np.array([name.setdefault(c, len(name)) for c in table["comp"].to_pylist()])
+
+        def candidates(self, x: int) -> np.ndarray:
+            ok = self.top != self.top[x]
+            if self.lo == self.hi:
                 ok[: x + 1] = False
-            elif side[x] == hi:
-                continue
+            elif self.side[x] == self.hi:
+                return np.zeros(0, np.int64)
             else:
-                ok &= side == hi
-            ok &= np.minimum(weight, weight[x]) >= threshold * np.maximum(weight, weight[x])
+                ok &= self.side == self.hi
             at = np.flatnonzero(ok)
-            at = at[(sig[at] == sig[x]).sum(axis=1) >= least]
-            at = at[~(bands[at, :band] == bands[x, :band]).any(axis=1)] if band else at
-            for y in at:
+            at = at[(self.sig[at] == self.sig[x]).sum(axis=1) >= least]
+            return at[~(self.bands[at, : self.band] == self.bands[x, : self.band]).any(axis=1)] if self.band else at
+
+    def open_members(key: tuple, table: pa.Table) -> pa.Table:
+        cell, found = Cell(key, table), np.zeros(len(table), bool)
+        for x in range(len(table)):
+            if len(at := cell.candidates(x)):
+                found[at] = found[x] = True
+        return table.select(["bucket", "node", "comp"]).filter(pa.array(found))
+
+    some = dealt(rest.select("bucket", "node", "comp").join(apart, "bucket")).groupBy("bucket", "lo", "hi").applyInArrow(open_members, "bucket long, node binary, comp binary")
+    some = stored(some.distinct(), "open")
+    held = some.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    blocks = held.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(chunk)), F.ceil(F.sum("bytes") / F.lit(CHUNK_BYTES))).alias("n_chunks"))
+    held = dealt(some.join(blocks, "bucket")).join(texts, "node")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        cell, sets, node, found = Cell(key, table), _each(table["text"]), table["node"].to_pylist(), []
+        weight, top = np.array([s[1].sum() for s in sets]), cell.top
+        for x in range(len(sets)):
+            at = cell.candidates(x)
+            for y in at[np.minimum(weight[at], weight[x]) >= threshold * np.maximum(weight[at], weight[x])]:
                 if top[y] != top[x] and similarity(sets[x], sets[y]) >= threshold:
                     found.append((node[x], node[y]))
                     top[top == top[y]] = top[x]
@@ -220,6 +242,7 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold:
     more = stored(held.groupBy("bucket", "lo", "hi").applyInArrow(compare, link), "links")
     if not more.isEmpty():
         comps = components(links.union(more))
+    dropped(members, ranked, seated, pairs, texts, links, some, more)
 
     lead = labelled(nodes.select("node", "first"), comps)
     best = lead.groupBy("comp").agg(F.min("first").alias("best"))

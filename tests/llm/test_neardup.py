@@ -55,6 +55,7 @@ def test_groups_of_variants(spark):
     want = brute(docs)
     for chunk in (7, 512):
         assert {r.id: r.class_id for r in N.classes(df, chunk=chunk).collect()} == want
+    assert {r.id: r.class_id for r in N.classes(df, chunk=7, slack=None).collect()} == want
     kept = N.keep_one(df).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
     assert kept[0].node == "clash"
