@@ -23,27 +23,49 @@ def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules of their host."""
+    """Documents that pass the rules, the strict ones if their host (source) is bad.
+
+    A null or empty text has no words and goes; a null source is a host of its own; repeated rows are judged each and
+    stay or go together; other columns are kept as they are. An empty table gives an empty one.
+    """
     return quality.judge(docs).where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of recurring templates beyond the first document's."""
+    """All documents, without lines of recurring templates beyond the first document's.
+
+    The first document keeps its lines because copies are still in the corpus: a group of ten or more would lose its whole text.
+    A null text stays null, an empty one empty; null ids come last, and rows of one id count as one document for being first;
+    of repeated rows each counts as a document. An empty table gives an empty one.
+    """
     return _as(docs, linededup.drop_recurring(docs, keep_first=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, without long lines that an earlier one of them holds."""
-    return _as(docs, linededup.drop_repeated(stored(neardup.keep_one(docs), "near", even=False)))
+    """One document of each class of near-duplicates, without long lines that an earlier one of them holds.
+
+    The one of least id stays, of equal ids the one of least text hash, a null id before others; a repeated row stays once.
+    Documents without words (null, empty) are like no other and all stay. An empty table gives an empty one.
+    """
+    kept = stored(neardup.keep_one(docs), "near", even=False)
+    return _as(docs, linededup.drop_repeated(kept))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a part taken has its words alone."""
+    """Each document as often as the mix takes it; a part taken has its words alone.
+
+    Null and empty texts have size 0 and are not taken; a null source is a source of its own, last in order; places in the mix
+    hang on id and text, so repeated rows may change places without effect. An empty table gives an empty one.
+    """
     return _as(docs, mixing.take(mixing.quotas(docs, order="doc_id", carry_text=True)))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each whole text, and digests of the ids and of the text they decode to."""
+    """doc_id, source, ids of each whole text, their number, and digests of the ids and of the text they decode to.
+
+    Null and empty texts have no ids and the digests of nothing; null ids and sources stay null; repeated rows each give a row; other
+    columns play no part. An empty table gives an empty one.
+    """
     out = wordbpe.round_trip(docs, keep=["doc_id", "source"])
     return out.select("doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
@@ -58,8 +80,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each but the last is written to the shared folder and read again. What a stage read goes when its successor stands."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name, even=False)
+        docs = stored(stage(spark, before, sf_dir), name, even=False)
+        dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
