@@ -206,6 +206,16 @@ def rectangle_quad(w, h) -> Column:
     return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.lit(0.0), F.lit(0.0)), (right, F.lit(0.0)), (right, low), (F.lit(0.0), low))])
 
 
+def order_corners(points) -> Column:
+    """Of an array of points (x, y): top left, top right, bottom right, bottom left, by sum and difference of the coordinates; the first of equals."""
+
+    def least(key) -> Column:
+        best = F.array_min(F.transform(_c(points), lambda p, i: F.struct(key(p["x"], p["y"]).alias("key"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
+        return F.struct(best["x"].alias("x"), best["y"].alias("y"))
+
+    return F.array(least(lambda x, y: x + y), least(lambda x, y: y - x), least(lambda x, y: -x - y), least(lambda x, y: x - y))
+
+
 def intersection(rho1, theta1, rho2, theta2) -> Column:
     """Where two lines x cos t + y sin t = rho (t in degrees) meet; null if they are parallel."""
     t1, t2 = F.radians(_c(theta1)), F.radians(_c(theta2))

@@ -9,7 +9,7 @@ import numpy as np
 
 from gridlens.operators.kernels import homography
 
-#: 5 x 7 glyphs of the digits 0..9, a row of five bits each.
+#: The common 5 x 7 dot-matrix shapes of the digits 0..9, a row of five bits each.
 GLYPHS = (
     (14, 17, 19, 21, 25, 17, 14),
     (4, 12, 4, 4, 4, 4, 14),

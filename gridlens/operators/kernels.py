@@ -415,3 +415,27 @@ def map_arrays(df: DataFrame, px: str, width: int, kernel: Callable[[np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())) if k == at else c for k, c in enumerate(batch.columns)], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def _map_rows(df: DataFrame, columns: list[str], made: T.StructType, value: Callable[..., np.ndarray | None]) -> DataFrame:
+    """The first of ``columns`` and an array of doubles that ``value`` makes of the others; null where one of them is null or it gives None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [batch.column(k).to_pylist() for k in range(1, batch.num_columns)]
+            out = [None if any(c is None for c in row) else value(*row) for row in zip(*rest, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else np.ravel(x) for x in out], pa.list_(pa.float64()))], names=made.names)
+
+    return df.select(*columns).mapInArrow(run, made)
+
+
+def solve_systems(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """key and solution of linear systems: ``a`` holds n x n numbers row by row, ``b`` n; null where a pivot is below 1e-10."""
+    made = T.StructType([df.schema[key], T.StructField("solution", T.ArrayType(T.DoubleType()))])
+    return _map_rows(df, [key, a, b], made, lambda m, v: solve_linear(np.reshape(m, (len(v), len(v))), np.array(v)))
+
+
+def fit_homographies(df: DataFrame, key: str, target: str, source: list[tuple[float, float]]) -> DataFrame:
+    """key and h, nine numbers row by row, of the homographies that take the four points ``source`` to each row's ``target`` (x and y in turn); null where there is none."""
+    made = T.StructType([df.schema[key], T.StructField("h", T.ArrayType(T.DoubleType()))])
+    return _map_rows(df, [key, target], made, lambda t: homography(source, list(zip(t[::2], t[1::2], strict=True))))

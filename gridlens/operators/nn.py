@@ -237,9 +237,9 @@ def grid_search(df: DataFrame, configs: DataFrame, m: Model, share: float = 0.7)
     ``df`` (pixels, label) is sent to every task, so it must be small; rows are cut into training
     and test by their order. configs: config_id, epochs, batch_size, learning_rate.
     """
-    rows = df.select("pixels", F.col("label").cast("int").alias("label")).toPandas()
-    if len(rows) * m.side**2 * 4 > 256 << 20:
+    if df.count() * m.side**2 * 4 > 256 << 20:
         raise ValueError("too many samples to send to every task")
+    rows = df.select("pixels", F.col("label").cast("int").alias("label")).toPandas()
     x, y = np.stack(rows["pixels"].to_list()).astype(np.float32), rows["label"].to_numpy()
     n = int(len(x) * share)
     made = "config_id int, accuracy double, macro_f1 double, confusion array<long>"

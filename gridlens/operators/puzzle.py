@@ -235,6 +235,36 @@ def solve_puzzles(df: DataFrame, key: str = "puzzle_id", grid: str = "grid", mos
     return df.select(key, grid).mapInArrow(run, made)
 
 
+def solve_each(df: DataFrame, how: Callable[[str], str | None], key: str = "puzzle_id", grid: str = "grid") -> DataFrame:
+    """key and solution, as ``how`` (``solve`` or ``solve_fewest``) finds it; null of none, of null and of grids of another length."""
+    made = T.StructType([df.schema[key], T.StructField("solution", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [how(g) if g and len(g) == 81 else None for g in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=made.names)
+
+    return df.select(key, grid).mapInArrow(run, made)
+
+
+def safe_counts(df: DataFrame, key: str = "puzzle_id", grid: str = "grid") -> DataFrame:
+    """key, idx and safe: how many digits clash with nothing in each empty cell."""
+    made = T.StructType([df.schema[key], T.StructField("idx", T.IntegerType()), T.StructField("safe", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at, safe = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                board = Board(text or "")
+                open_cells = [i for i, d in enumerate(board.d) if not d]
+                keys += [k] * len(open_cells)
+                at += open_cells
+                safe += [sum(board.fits(i, d) for d in range(1, 10)) for i in open_cells]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(at, pa.int32()), pa.array(safe, pa.int32())], names=made.names)
+
+    return df.select(key, grid).mapInArrow(run, made)
+
+
 def search_clues(df: DataFrame, key: str = "puzzle_id") -> DataFrame:
     """key, clues and solution: the clue search over grids whose given cells (``grid``) are ranked with a wrong digit before that of ``solution``."""
     made = T.StructType([df.schema[key], T.StructField("clues", T.StringType()), T.StructField("solution", T.StringType())])

@@ -72,7 +72,8 @@ def gaussian_kernel(k: int, sigma: float) -> list[list[float]]:
 
 
 def gaussian_blur(px, width: int, height: int, k: int = 5, sigma: float = 1.0) -> Column:
-    return F.transform(convolve(px, width, height, gaussian_kernel(k, sigma)), lambda v: clamp(trunc_int(v), 0, 255))
+    """Truncated, with a little added first, so that a sum just short of a whole number by rounding counts as it."""
+    return F.transform(convolve(px, width, height, gaussian_kernel(k, sigma)), lambda v: clamp(trunc_int(v + F.lit(1e-9)), 0, 255))
 
 
 def conv_valid(px, width: int, height: int, kernel: list[list[float]]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlens.functions import elementwise as E
-from gridlens.operators import aggregates as A, kernels, metrics as M, nn, puzzle as P, report as R, sampling as S, stencils as X
+from gridlens.operators import aggregates as A, kernels, metrics as M, puzzle as P, report as R, sampling as S, stencils as X
 from gridlens.operators.images import SIDE, images, logits, to_long
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,8 +43,8 @@ def _r(c, digits: int = 6):
 _IMG = "img AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.6) / 1.2 * 256))) AS INTEGER)) AS px FROM embeddings)"
 _PIX = _IMG + ", pix AS (SELECT vec_id, label, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, px[i + 1] AS v FROM (SELECT vec_id, label, px, unnest(range(64)) AS i FROM img))"
 _NEAR = _PIX + ", d AS (SELECT unnest([-1, 0, 1]) AS dx), near AS (SELECT a.vec_id, a.x, a.y, dx.dx, dy.dx AS dy, b.v FROM pix a, d dx, d dy, pix b WHERE a.vec_id = b.vec_id AND b.x = a.x + dx.dx AND b.y = a.y + dy.dx)"
-_LOGIT = "lg AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings)"
-_PRED = "pr AS (SELECT label AS actual, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS predicted FROM embeddings)"
+_LOGIT = "lg AS (SELECT vec_id, label, list_transform(range(1, 11), lambda k: list_sum(list_transform(embedding[k:len(embedding):10], lambda v: CAST(v AS DOUBLE)))) AS z FROM embeddings)"
+_PRED = _LOGIT + ", pr AS (SELECT label AS actual, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS predicted FROM lg)"
 _CLASS = _PRED + """, per AS (
   SELECT c AS class, (SELECT count(*) FROM pr WHERE actual = c AND predicted = c) AS tp,
          (SELECT count(*) FROM pr WHERE actual <> c AND predicted = c) AS fp, (SELECT count(*) FROM pr WHERE actual = c AND predicted <> c) AS fn
@@ -60,7 +60,7 @@ def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- classifier output ------------------------------------------------------------------
 
 
-@query("argmax_label", "SELECT vec_id, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS predicted FROM embeddings")
+@query("argmax_label", f"WITH {_LOGIT} SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS predicted FROM lg")
 def argmax_label(spark, d):
     return logits(spark, d).select("vec_id", E.argmax("logits").alias("predicted"))
 
@@ -123,14 +123,18 @@ def cell_order(spark, d):
     return A.top_k(best, [F.desc("prob"), F.col("vec_id")], 81, ["label"]).select("label", F.col("rank").alias("place"), "vec_id", _r("prob").alias("prob"))
 
 
-@query(
-    "activations",
-    "SELECT vec_id, round(greatest(x, 0.0), 6) AS relu, CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS relu_d, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(1 / (1 + exp(-x)) * (1 - 1 / (1 + exp(-x))), 6) AS sigmoid_d, round(tanh(x), 6) AS tanh, round(1 - tanh(x) * tanh(x), 6) AS tanh_d FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)",
-)
+_ACTS = {"relu": "greatest(x, 0.0)", "relu_d": "CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END", "sigmoid": "1 / (1 + exp(-x))", "sigmoid_d": "1 / (1 + exp(-x)) * (1 - 1 / (1 + exp(-x)))", "tanh": "tanh(x)", "tanh_d": "1 - tanh(x) * tanh(x)"}
+
+
+@query("activations", "SELECT vec_id, " + ", ".join(f"round(list_sum(list_transform(xs, lambda x: CAST({q} AS DOUBLE))), 6) AS {n}" for n, q in _ACTS.items()) + " FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS xs FROM embeddings)")
 def activations(spark, d):
-    x = F.col("x")
-    rows = _table(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    return rows.select("vec_id", _r(E.relu(x)).alias("relu"), E.relu_derivative(x).alias("relu_d"), _r(E.sigmoid(x)).alias("sigmoid"), _r(E.sigmoid_derivative(x)).alias("sigmoid_d"), _r(F.tanh(x)).alias("tanh"), _r(E.tanh_derivative(x)).alias("tanh_d"))
+    """Sums of the activations and their derivatives over each vector."""
+    made = {"relu": E.relu, "relu_d": E.relu_derivative, "sigmoid": E.sigmoid, "sigmoid_d": E.sigmoid_derivative, "tanh": F.tanh, "tanh_d": E.tanh_derivative}
+
+    def total(f):
+        return _r(F.aggregate(F.transform("embedding", lambda v: f(v.cast("double"))), F.lit(0.0), lambda s, v: s + v))
+
+    return _table(spark, d, "embeddings").select("vec_id", *[total(f).alias(n) for n, f in made.items()])
 
 
 # -- pixels -----------------------------------------------------------------------------
@@ -172,10 +176,15 @@ def invert_normalize(spark, d):
     return images(spark, d).select("vec_id", inverted.alias("inverted"), _r(F.aggregate(E.normalise("px"), F.lit(0.0), lambda a, v: a + v)).alias("normalised"))
 
 
-@query("rgb_gray", f"WITH {_IMG} SELECT vec_id, CAST(trunc(0.299::DOUBLE * px[1] + 0.587::DOUBLE * px[2] + 0.114::DOUBLE * px[3]) AS INTEGER) AS gray, CAST(len(px) * 3 AS INTEGER) AS n_rgb FROM img")
+@query("rgb_gray", f"WITH {_IMG} SELECT vec_id, CAST(list_sum(list_transform(range(64), lambda i: trunc(0.299::DOUBLE * px[i + 1] + 0.587::DOUBLE * px[64 - i] + 0.114::DOUBLE * px[i * 7 % 64 + 1]))) AS BIGINT) AS gray, CAST(len(px) * 3 AS INTEGER) AS n_rgb, CAST(list_sum(px) * 3 AS BIGINT) AS rgb FROM img")
 def rgb_gray(spark, d):
-    r, g, b = (F.get("px", F.lit(k)) for k in range(3))
-    return images(spark, d).select("vec_id", E.rgb_to_gray(r, g, b).alias("gray"), F.size(E.gray_to_rgb("px")).alias("n_rgb"))
+    """Gray of 64 colours made of each image's pixels, and the image as RGB."""
+    gray = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: E.rgb_to_gray(F.get("px", i), F.get("px", 63 - i), F.get("px", i * 7 % 64)))
+
+    def total(c):
+        return F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+
+    return images(spark, d).select("vec_id", total(gray).alias("gray"), F.size(E.gray_to_rgb("px")).alias("n_rgb"), total(E.gray_to_rgb("px")).alias("rgb"))
 
 
 _MASS = _PIX + ", cm AS (SELECT vec_id, coalesce(CAST(sum(x * v) AS DOUBLE) / nullif(CAST(sum(v) AS DOUBLE), 0), 4.0) AS cx, coalesce(CAST(sum(y * v) AS DOUBLE) / nullif(CAST(sum(v) AS DOUBLE), 0), 4.0) AS cy FROM pix GROUP BY vec_id)"
@@ -299,29 +308,33 @@ def bounding_box(spark, d):
     return _lit(spark, d).groupBy("vec_id").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.count(F.lit(1)).alias("area"))
 
 
-_VOTES = _PIX + ", th AS (SELECT CAST(unnest(range(0, 180, 15)) AS INTEGER) AS theta), votes AS (SELECT vec_id, theta, CAST(trunc(round(x * cos(radians(theta)) + y * sin(radians(theta)), 9)) AS INTEGER) AS rho, count(*) AS votes FROM pix, th WHERE v > 128 GROUP BY ALL)"
+_VOTES = _PIX + ", th AS (SELECT CAST(unnest(range(180)) AS INTEGER) AS theta), votes AS (SELECT vec_id, theta, CAST(trunc(round(x * cos(radians(theta)) + y * sin(radians(theta)), 9)) AS INTEGER) AS rho, count(*) AS votes FROM pix, th WHERE v > 128 GROUP BY ALL)"
+
+
+def _hough(spark, d):
+    return A.hough_votes(_lit(spark, d), ["vec_id"], 180, 1)
 
 
-@query("hough_votes", f"WITH {_VOTES} SELECT vec_id, theta, rho, votes FROM votes")
+@query("hough_votes", f"WITH {_VOTES} SELECT vec_id, theta, count(*) AS cells, CAST(sum(votes) AS BIGINT) AS votes, max(votes) AS most, CAST(sum(rho * votes) AS BIGINT) AS moment FROM votes GROUP BY vec_id, theta")
 def hough_votes(spark, d):
-    return A.hough_votes(_lit(spark, d), ["vec_id"], 12, 15)
+    """The accumulator, added up per angle."""
+    return _hough(spark, d).groupBy("vec_id", "theta").agg(F.count(F.lit(1)).alias("cells"), F.sum("votes").alias("votes"), F.max("votes").alias("most"), F.sum(F.col("rho") * F.col("votes")).alias("moment"))
 
 
 @query(
     "hough_peaks",
-    f"WITH {_VOTES}, q AS (SELECT vec_id, theta // 15 AS theta, rho, votes FROM votes) SELECT a.vec_id, CAST(a.theta * 15 AS INTEGER) AS theta, a.rho, a.votes FROM q a WHERE votes > 3 AND NOT EXISTS (SELECT 1 FROM q b WHERE a.vec_id = b.vec_id AND abs(a.theta - b.theta) <= 1 AND abs(a.rho - b.rho) <= 1 AND b.votes > a.votes)",
+    f"WITH {_VOTES}, o AS (SELECT unnest([-1, 0, 1]) AS o), near AS (SELECT v.vec_id, CAST(v.theta + a.o AS INTEGER) AS theta, CAST(v.rho + b.o AS INTEGER) AS rho, max(v.votes) AS most FROM votes v, o a, o b GROUP BY ALL) SELECT v.vec_id, v.theta, v.rho, v.votes FROM votes v JOIN near USING (vec_id, theta, rho) WHERE votes > 3 AND votes >= most",
 )
 def hough_peaks(spark, d):
-    votes = A.hough_votes(_lit(spark, d), ["vec_id"], 12, 15).withColumn("theta", F.floor(F.col("theta") / 15).cast("int"))
-    return A.hough_peaks(votes, ["vec_id"], 3).withColumn("theta", F.col("theta") * 15)
+    return A.hough_peaks(_hough(spark, d), ["vec_id"], 3)
 
 
 @query(
     "top_lines",
-    f"WITH {_VOTES}, t AS (SELECT *, CASE WHEN theta < 30 OR theta > 150 THEN 'v' WHEN theta > 60 AND theta < 120 THEN 'h' END AS direction FROM votes), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, direction ORDER BY votes DESC, theta, rho) AS rank FROM t WHERE direction IS NOT NULL) SELECT vec_id, direction, CAST(rank AS INTEGER) AS rank, theta, rho, votes FROM k WHERE rank <= 3",
+    f"WITH {_VOTES}, t AS (SELECT *, CASE WHEN theta < 30 OR theta > 150 THEN 'v' WHEN theta > 60 AND theta < 120 THEN 'h' END AS direction FROM votes), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, direction ORDER BY votes DESC, theta, rho) AS rank FROM t WHERE direction IS NOT NULL) SELECT vec_id, direction, CAST(rank AS INTEGER) AS rank, theta, rho, votes FROM k WHERE rank <= 20",
 )
 def top_lines(spark, d):
-    return A.top_lines(A.hough_votes(_lit(spark, d), ["vec_id"], 12, 15), ["vec_id"], 3).select("vec_id", "direction", "rank", "theta", "rho", "votes")
+    return A.top_lines(_hough(spark, d), ["vec_id"], 20).select("vec_id", "direction", "rank", "theta", "rho", "votes")
 
 
 @query(
@@ -368,24 +381,41 @@ def homography_points(spark, d):
 
 @query(
     "matmul_gram",
-    "WITH e AS (SELECT label, embedding, unnest(range(4)) AS i FROM embeddings), f AS (SELECT label, i, embedding, unnest(range(4)) AS j FROM e) SELECT label, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 5) AS v FROM f GROUP BY ALL",
+    "WITH i AS (SELECT unnest(range(8)) AS i), g AS (SELECT a.i AS i, b.i AS j, r.i AS r FROM i a, i b, i r) SELECT label, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(CAST(embedding[r * 8 + i + 1] AS DOUBLE) * CAST(embedding[r * 8 + j + 1] AS DOUBLE)), 5) AS v FROM embeddings, g GROUP BY ALL",
 )
 def matmul_gram(spark, d):
-    """Per label the product of the first four columns' transpose with themselves."""
-    row = F.slice("embedding", 1, 4)
-    rows = _table(spark, d, "embeddings").select("label", F.posexplode(E.matmul(row, row, 4, 1, 4)).alias("at", "v"))
-    return rows.groupBy("label", F.floor(F.col("at") / 4).cast("int").alias("i"), (F.col("at") % 4).alias("j")).agg(_r(F.sum("v"), 5).alias("v"))
+    """Per label the sum of the vectors, as 8 x 8 matrices, transposed times themselves."""
+    rows = _table(spark, d, "embeddings").select("label", F.posexplode(E.matmul(E.transpose("embedding", 8, 8), "embedding", 8, 8, 8)).alias("at", "v"))
+    return rows.groupBy("label", F.floor(F.col("at") / 8).cast("int").alias("i"), (F.col("at") % 8).alias("j")).agg(_r(F.sum("v"), 5).alias("v"))
+
+
+def _placed(values: str, n: int) -> str:
+    """Sum of an expression of the place i from 1, times the place, so that order shows."""
+    return f"round(list_sum(list_transform(range(1, {n + 1}), lambda i: i * ({values}))), 5)"
 
 
 @query(
     "matrix_ops",
-    "WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE)) AS a, list_transform(embedding[5:8], lambda v: CAST(v AS DOUBLE)) AS b FROM embeddings) SELECT vec_id, round(a[1] + b[1], 6) AS added, round(a[2] - b[2], 6) AS less, round(a[3] * b[3], 6) AS times, round(a[4] * 2.5::DOUBLE, 6) AS scaled, round(a[3], 6) AS swapped, round(a[1] * b[2] + a[2] * b[4], 6) AS product FROM e",
+    "WITH e AS (SELECT vec_id, list_transform(embedding[1:32], lambda v: CAST(v AS DOUBLE)) AS a, list_transform(embedding[33:64], lambda v: CAST(v AS DOUBLE)) AS b FROM embeddings) SELECT vec_id, "
+    + ", ".join(
+        f"{_placed(q, n)} AS {name}"
+        for name, q, n in (
+            ("added", "a[i] + b[i]", 32),
+            ("less", "a[i] - b[i]", 32),
+            ("times", "a[i] * b[i]", 32),
+            ("scaled", "a[i] * 2.5::DOUBLE", 32),
+            ("filled", "1.5::DOUBLE", 32),
+            ("swapped", "a[((i - 1) % 4) * 8 + (i - 1) // 4 + 1]", 32),
+            ("product", "list_sum(list_transform(range(8), lambda k: a[(i - 1) // 4 * 8 + k + 1] * b[k * 4 + (i - 1) % 4 + 1]))", 16),
+        )
+    )
+    + " FROM e",
 )
 def matrix_ops(spark, d):
-    """2 x 2 matrices: element-wise, scaled, transposed, multiplied."""
-    rows = _table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("a"), F.transform(F.slice("embedding", 5, 4), lambda v: v.cast("double")).alias("b"))
-    parts = {"added": (E.add("a", "b"), 0), "less": (E.subtract("a", "b"), 1), "times": (E.multiply("a", "b"), 2), "scaled": (E.scale("a", 2.5), 3), "swapped": (E.transpose("a", 2, 2), 1), "product": (E.matmul("a", "b", 2, 2, 2), 1)}
-    return rows.select("vec_id", *[_r(F.get(c, F.lit(k))).alias(n) for n, (c, k) in parts.items()])
+    """Each vector as two matrices, 4 x 8 and 8 x 4: element-wise, scaled, filled, transposed, multiplied; sums by place."""
+    rows = _table(spark, d, "embeddings").select("vec_id", *[F.transform(F.slice("embedding", at, 32), lambda v: v.cast("double")).alias(n) for n, at in (("a", 1), ("b", 33))])
+    parts = {"added": E.add("a", "b"), "less": E.subtract("a", "b"), "times": E.multiply("a", "b"), "scaled": E.scale("a", 2.5), "filled": E.filled(1.5, 4, 8), "swapped": E.transpose("a", 4, 8), "product": E.matmul("a", "b", 4, 8, 4)}
+    return rows.select("vec_id", *[_r(F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v), 5).alias(n) for n, c in parts.items()])
 
 
 # -- data sets --------------------------------------------------------------------------
@@ -604,31 +634,3 @@ def label_noise(spark, d):
 
     kept = kernels.map_arrays(images(spark, d).select("vec_id", "px"), "px", SIDE, largest)
     return kept.select("vec_id", F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("mass"))
-
-
-@query("cnn_predict")
-def cnn_predict(spark, d):
-    """The classifier, with seeded weights, over all vectors as images."""
-    rows = images(spark, d).select("vec_id", "label", E.normalise("px").alias("pixels"))
-    return nn.predict(rows, nn.Model(side=SIDE, kernel=2, maps=(4, 8), hidden=32)).select("vec_id", "label", "predicted", _r(F.array_max("probabilities").cast("double"), 4).alias("top_p"))
-
-
-@query("empty_cells")
-def empty_cells(spark, d):
-    """As many blank samples as a ninth of the vectors."""
-    n = _table(spark, d, "embeddings").count() // 9
-    return S.empty_samples(spark, n, SIDE).select("sample_id", "label", _r(F.array_max("pixels").cast("double"), 4).alias("brightest"))
-
-
-@query("shuffled_batches")
-def shuffled_batches(spark, d):
-    """Vectors in a seeded order, in batches of 32."""
-    dealt = S.batches(_table(spark, d, "embeddings").select("vec_id"), S.seeded_order("vec_id", 1), 32)
-    return dealt.select("vec_id", "position", "batch")
-
-
-@query("clue_search")
-def clue_search(spark, d):
-    """Puzzles read from ranked digits of which the second is right."""
-    solved = P.solve_puzzles(_puzzles(spark, {1, 2})).where("solution IS NOT NULL")
-    return P.search_clues(solved.join(_puzzles(spark), "puzzle_id"))

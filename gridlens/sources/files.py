@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as store
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridlens.operators import nn
@@ -54,16 +58,37 @@ def label_of(origin: Column) -> Column:
 def write_files(df: DataFrame, folder: str, name: str = "file", body: str = "body") -> int:
     """Every row as a file of its own under a folder; the number of files.
 
-    Spark has no sink for whole files. Rows come to the driver one partition at a time,
-    each file is written under a temporary name and renamed, so none shows half written.
+    Spark has no sink for whole files. Where Arrow knows the folder's store (local, HDFS, S3, GCS), executors write their rows;
+    elsewhere rows come to the driver one partition at a time and go out by the session's Hadoop file system. Each file is written
+    under a temporary name and renamed, so none shows half written, and a task that runs twice does no harm.
     """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(conf)
     fs.mkdirs(root)
+    uri = fs.makeQualified(root).toString()
+    try:
+        store.FileSystem.from_uri(uri)
+    except (ValueError, OSError, pa.ArrowException):
+        return _write_by_driver(df.select(name, body), jvm, fs, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = store.FileSystem.from_uri(uri)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                last, part = f"{at}/{batch.column(0)[k].as_py()}", f"{at}/_{uuid.uuid4().hex}.part"
+                with files.open_output_stream(part) as out:
+                    out.write(batch.column(1)[k].as_buffer())
+                files.move(part, last)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return df.select(F.col(name).cast("string"), F.col(body).cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _write_by_driver(df: DataFrame, jvm, fs, root) -> int:
     n = 0
-    for row in df.select(name, body).toLocalIterator():
+    for row in df.toLocalIterator():
         last = jvm.org.apache.hadoop.fs.Path(root, row[0])
         part = jvm.org.apache.hadoop.fs.Path(root, f"_{row[0]}.part")
         out = fs.create(part, True)
@@ -75,6 +100,44 @@ def write_files(df: DataFrame, folder: str, name: str = "file", body: str = "bod
     return n
 
 
+def write_npy(df: DataFrame, path: str, value: str, order: list[Column], kind: str = "<i8") -> int:
+    """One column in an order as a one-dimensional .npy file; the number of values, which may not be null.
+
+    The format is a single file, so values pass the driver, a partition at a time.
+    """
+    spark = df.sparkSession
+    n = df.count()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, {"descr": kind, "fortran_order": False, "shape": (n,)})
+    out = fs.create(at, True)
+    out.write(bytearray(head.getvalue()))
+    held: list = []
+    for row in df.orderBy(*order).select(value).toLocalIterator():
+        held.append(row[0])
+        if len(held) == 1 << 16:
+            out.write(bytearray(np.array(held, kind).tobytes()))
+            held = []
+    out.write(bytearray(np.array(held, kind).tobytes()))
+    out.close()
+    return n
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """position (from 0) and value of a one-dimensional .npy file of whole numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                values = np.load(io.BytesIO(body), allow_pickle=False).astype(np.int64)
+                for lo in range(0, len(values), 1 << 16):
+                    part = values[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array(part)], names=["position", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "position long, value long")
+
+
 # -- weights ----------------------------------------------------------------------------
 
 
@@ -149,9 +212,6 @@ def read_puzzle(spark: SparkSession, path: str) -> str:
 
 def read_digit_folder(spark: SparkSession, path: str, side: int = 28) -> DataFrame:
     """origin, label (from the name) and pixels 0..1 of side x side, from images named digit_N_label_D.png; others and unreadable ones are left out."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
     from pyspark.sql import types as T
 
     from gridlens.operators import kernels as K

@@ -126,6 +126,27 @@ def idx_label_bytes(labels: np.ndarray) -> bytes:
     return struct.pack(">II", IDX_LABELS, len(labels)) + labels.astype(np.uint8).tobytes()
 
 
+def idx_cells(df: DataFrame, order: str, width: int, height: int) -> DataFrame:
+    """file and body: ``images.idx`` and ``labels.idx`` of samples (label, pixels as bytes) in an order.
+
+    The format is one file each, of up to 2 GB here, so one task packs them.
+    """
+    made = T.StructType([T.StructField("file", T.StringType()), T.StructField("body", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, images = bytearray(), bytearray()
+        for batch in batches:
+            for label, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(body) != width * height:
+                    raise ValueError(f"{len(body)} pixels, not {width} x {height}")
+                labels.append(label)
+                images += body
+        heads = struct.pack(">IIII", IDX_IMAGES, len(labels), height, width), struct.pack(">II", IDX_LABELS, len(labels))
+        yield pa.RecordBatch.from_arrays([pa.array(["images.idx", "labels.idx"]), pa.array([heads[0] + bytes(images), heads[1] + bytes(labels)], pa.binary())], names=made.names)
+
+    return df.repartition(1).sortWithinPartitions(order).select("label", "pixels").mapInArrow(run, made)
+
+
 def framed_cells(df: DataFrame, width: int, height: int, per_file: int = 65536) -> DataFrame:
     """file and body: samples (label, pixels as bytes) packed into framed files of at most ``per_file`` records; no samples, no files."""
     made = T.StructType([T.StructField("file", T.StringType()), T.StructField("body", T.BinaryType())])
