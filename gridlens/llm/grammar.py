@@ -73,6 +73,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
                 chosen = at[(counts >= min_count)[which]]
             if not len(chosen):
                 if floor == min_count:
+                    chosen = _apart(keys, inner & (tally[slot] >= floor), min_count)
                     break
                 floor = max(min_count, floor // 2)
         if not len(chosen):
@@ -95,6 +96,28 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
     return seq, table, sizes[base:].astype(np.uint32), starts.astype(np.int64)
 
 
+def _apart(keys: np.ndarray, candidates: np.ndarray, min_count: int) -> np.ndarray:
+    """Places of pairs that stand ``min_count`` times, such that none overlap: the more frequent pair goes first, so the most frequent one keeps all its places."""
+    at = np.flatnonzero(candidates)
+    # a pair of equal ids overlaps itself: every other place of a run
+    new = np.concatenate([[True], (np.diff(at) != 1) | (keys[at[1:]] != keys[at[:-1]])]) if len(at) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1] if len(at) else at
+    at = at[(np.arange(len(at)) - begin) % 2 == 0]
+    _, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
+    at, which = at[counts[which] >= min_count], which[counts[which] >= min_count]
+    if not len(at):
+        return at
+    order = np.empty(len(counts), np.int64)
+    order[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
+    rank = order[which]
+    near = np.diff(at) == 1
+    wins = np.ones(len(at), bool)
+    wins[1:] &= ~near | (rank[1:] < rank[:-1])
+    wins[:-1] &= ~near | (rank[:-1] < rank[1:])
+    at, which = at[wins], which[wins]
+    return at[np.bincount(which, minlength=len(counts))[which] >= min_count]
+
+
 def expand(seq: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
     """The ids that a (part of a) sequence stands for."""
     while len(at := np.flatnonzero(seq >= base)):

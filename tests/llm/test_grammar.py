@@ -29,6 +29,23 @@ def test_repeats_shrink():
     assert len(seq) + 2 * len(rules) < len(ids) / 20
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=200), min_size=1, max_size=4))
+def test_goes_on_while_a_pair_pays(docs):
+    """In what is left no pair stands ``MIN_COUNT`` times (without overlaps) inside documents."""
+    ids, ends = np.array([x for d in docs for x in d], np.uint32), np.cumsum([len(d) for d in docs])
+    seq, _, _, at = G.compress(ids, ends)
+    seen = {}
+    for a, b in zip(at, [*at[1:], len(seq)], strict=True):
+        part, k = seq[a:b].tolist(), 0
+        last = {}
+        for k, pair in enumerate(zip(part, part[1:], strict=False)):
+            if last.get(pair) != k - 1:
+                seen[pair] = seen.get(pair, 0) + 1
+                last[pair] = k
+    assert max(seen.values(), default=0) < G.MIN_COUNT
+
+
 def test_query(spark, sf, documents):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     start = 0

@@ -49,7 +49,7 @@ def test_quality_rules(stages, spark, sf):
 
 def test_line_dedup(stages):
     rows = sorted(((r.doc_id, r.text) for r in stages["quality_rules"].collect()))
-    assert sorted(((r.doc_id, r.text) for r in stages["line_dedup"].collect())) == [(d, t) for (d, _), t in zip(rows, recurring(rows, 10), strict=True)]
+    assert sorted(((r.doc_id, r.text) for r in stages["line_dedup"].collect())) == [(d, t) for (d, _), t in zip(rows, recurring(rows, 10, True), strict=True)]
 
 
 def test_near_dedup(stages):
@@ -87,9 +87,33 @@ def test_run(spark, sf, stages):
 
 
 def test_empty_and_odd_tables(spark, sf, odd, empty):
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for rows in (empty, odd):
-        docs = rows
-        for _, stage in C.STAGES[:-1]:
+        docs, seen = rows, {}
+        for name, stage in C.STAGES[:-1]:
             docs = stage(spark, docs, sf)
             assert docs.columns == rows.columns
-        assert C.STAGES[-1][1](spark, docs, sf).count() >= 0
+            seen[name] = [(r.doc_id, r.text) for r in docs.collect()]
+        last = C.STAGES[-1][1](spark, docs, sf).collect()
+        if rows is empty:
+            assert not any(seen.values()) and last == []
+            continue
+        rules = {k for k, t in ((r.doc_id, r.text) for r in odd.collect()) if (m := measures(t))["n_words"] >= 10 and 100 * m["n_repeat_words"] <= 20 * m["n_words"]}
+        assert {d for d, _ in seen["quality_rules"]} <= rules
+        assert len(seen["line_dedup"]) == len(seen["quality_rules"]) >= len(seen["near_dedup"])
+        want = Counter((d, len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t in seen["source_mix"])
+        assert Counter((r.doc_id, r.n_tokens) for r in last) == want
+
+
+def test_stages_on_nulls_and_repeats(spark, sf, odd):
+    """Every stage by itself on the odd table, whose documents the first stage would mostly take away."""
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    lines = C.line_dedup(spark, odd, sf).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in lines) == sorted((str(k), str(t)) for (k, _), t in zip(rows, recurring(rows, 10, True), strict=True))
+    near_rows = C.near_dedup(spark, odd, sf).collect()
+    assert sum(1 for r in near_rows if not WORD.search(r.text or "")) == sum(1 for _, t in rows if not WORD.search(t or ""))
+    assert len({r.text for r in near_rows if WORD.search(r.text or "")}) == len([r for r in near_rows if WORD.search(r.text or "")])
+    mixed = C.source_mix(spark, odd, sf).collect()
+    assert all(WORD.search(r.text) for r in mixed)
+    tokens = C.bpe_tokens(spark, odd, sf).collect()
+    assert len(tokens) == len(rows) and sum(r.n_tokens == 0 for r in tokens) == sum(1 for _, t in rows if not (t or "").strip())

@@ -68,3 +68,34 @@ def test_longest_just_over_a_level(spark):
         want |= {2 * k: longest, 2 * k + 1: longest}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.longest for r in S.repeats(df, block_bytes=4000).collect()} == want
+
+
+def test_blocks_added_up_in_a_tree(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(S.B, "FAN", 3)
+    rows = S.repeats(df, min_words=6, block_bytes=300).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_removed, r.kept_text) for r in rows] == brute(texts, 6)
+
+
+def test_plan_does_not_grow_with_the_longest_text(spark):
+    def exchanges(words):
+        rows = [(0, " ".join(f"w{k}" for k in range(words))), (1, "a " * 40)]
+        plan = S.repeats(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange")
+
+    assert exchanges(100) == exchanges(30_000) < 40
+
+
+def test_copies_and_parts_of_them(spark):
+    """Copies go on as one document: their length counts for all, and what others share with them too."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    rows = [(k, " ".join(base)) for k in range(30)] + [(30, " ".join([*base[100:400], "x", "y"])), (31, " ".join(base[:20])), (32, "q " + " ".join(base[5:75]))]
+    rows += [(33 + k, " ".join(f"v{j}" for j in range(60))) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for levels, want in ((None, {0: 560, 29: 560, 30: 280, 31: 0, 32: 70, 33: 35}), (1, {0: 70, 29: 70, 30: 70, 31: 0, 32: 70, 33: 35}), (0, {0: 35, 29: 35, 30: 35, 31: 0, 32: 35, 33: 35})):
+        got = {r.doc_id: r for r in S.repeats(df, block_bytes=9000, levels=levels).collect()}
+        assert {k: got[k].longest for k in want} == want
+        assert all(got[k].n_removed == got[k].n_words for k in range(30)) and got[30].kept_text == "x y"

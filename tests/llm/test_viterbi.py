@@ -64,6 +64,27 @@ def test_query(spark, documents, tok):
     assert got == {d.doc_id: len(tok.encode(d.text or "").ids) for d in documents.collect()}
 
 
-def test_odd_rows(odd, odd_rows, empty):
-    assert V.token_counts(odd).count() == len(odd_rows)
+def test_odd_rows(odd, odd_rows, empty, tok):
+    rows = V.token_counts(odd).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == sorted((str(r[0]), len(tok.encode(r[1] or "").ids)) for r in odd_rows)
+    assert all(r.score == 0 for r in rows if not r.n_tokens)
+    assert rows[0].asDict().keys() == {"doc_id", "lang", "source", "n_chars", "block", "row", "kept_text", "n_tokens", "score"}
     assert V.token_counts(empty).collect() == []
+
+
+def test_segments_of_equal_hash(tok, monkeypatch):
+    monkeypatch.setattr(V.K, "span_hashes", lambda data, starts, ends, view=None: (ends - starts).astype(np.uint64))
+    texts = ["one two six ten", "owt neo xis net one", "x" * 300 + " " + "y" * 300 + " y", "a b c d a"]
+    assert many(V.Counter(V.pieces(PATH)), texts) == [len(tok.encode(t).ids) for t in texts]
+
+
+def test_scores_do_not_depend_on_company():
+    rng = random.Random(5)
+    vocabulary = [("<unk>", -9.3)] + [(x, -rng.random() * 7) for x in ["▁", "a", "b", "c", "ab", "▁a", "bc", "▁ab", "ca"]]
+    count = V.Counter(vocabulary)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    data = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+    together = count.totals(np.frombuffer(b"".join(data), np.uint8), off)[1].tolist()
+    alone = [count.totals(np.frombuffer(d, np.uint8), np.array([0, len(d)]))[1][0] for d in data]
+    assert together == alone
