@@ -31,6 +31,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -50,8 +51,8 @@ LEAF = 1024
 PART = 1 << 16
 #: Words that a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 2_000_000
-#: Letters whose form no normaliser changes, and marks behind them.
-PLAIN = re.compile(r"[a-zß-öø-ÿ]+([.,;:!?]*)")
+#: Letters whose form no normaliser changes.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 _encoders: dict[tuple[str, int], WordBpe] = {}
 
 # The normaliser and splitter for which cuts are right.
@@ -114,10 +115,16 @@ def check_rules(path: str) -> None:
 class WordBpe:
     def __init__(self, path: str, leaf: int = LEAF):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         check_rules(path)
         self.tok = Tokenizer.from_file(path)
+        #: The same vocabulary for words of plain letters with spaces between.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.no_truncation()
+        self.letters.no_padding()
         self.tok.no_truncation()
         self.tok.no_padding()
         self.leaf = leaf
@@ -151,15 +158,13 @@ class WordBpe:
 
         found, odd = numbered(self.known, data, starts, ends, lambda one: self.learn(texts(one)))
         size = self.at[found + 1] - self.at[found] if len(found) else np.zeros(0, np.int64)
-        apart = self.solve(texts(odd))
+        apart = [x for k in odd for x in [self.solve(texts(np.array([k])))[1]]]
         size[odd] = [len(x) for x in apart]
         edge = np.concatenate([[0], np.cumsum(size)])
         begin = self.at[found]
         begin[odd] = 0
         if len(odd):
-            room = int(size[odd].max())
-            if room > len(self.pool):
-                self.pool = grown(self.pool, room)
+            self.pool = grown(self.pool, int(size[odd].max()))
         ids = self.pool[np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)]
         for k, x in zip(odd, apart, strict=True):
             ids[edge[k] : edge[k + 1]] = x
@@ -181,38 +186,43 @@ class WordBpe:
 
     def learn(self, texts: list[str]) -> None:
         """Keeps the ids of new words, behind those of the words known so far."""
-        found = self.solve(texts)
+        size, ids = self.solve(texts)
         n, new = self.known.n, len(texts)
         self.at = grown(self.at, n + new + 1)
-        ids = np.concatenate([np.asarray(x, np.uint32) for x in found])
-        begin = self.at[n]
+        begin = int(self.at[n])
         self.pool = grown(self.pool, begin + len(ids))
         self.pool[begin : begin + len(ids)] = ids
-        self.at[n + 1 : n + new + 1] = begin + np.cumsum(np.fromiter(map(len, found), np.int64, new))
-
-    def solve(self, texts: list[str]) -> list:
-        """Ids of words: by the library, of long ones by the tree."""
-        found: list = [None] * len(texts)
-        # A word of plain letters is one piece to the splitter, and marks behind it are a second; every
-        # piece's last token has the end mark. So such words are encoded many to a text and told apart.
-        plain = [(k, m) for k, t in enumerate(texts) if len(t) <= self.leaf and (m := PLAIN.fullmatch(t))] if self.marked_ends is not None else []
-        for lo in range(0, len(plain), 500):
-            some = plain[lo : lo + 500]
-            ids = np.array(self.tok.encode_batch_fast([" ".join([texts[k] for k, _ in some])], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.marked_ends[ids]) + 1
-            last = np.cumsum([2 if m[1] else 1 for _, m in some])
-            if len(ends) != last[-1]:
-                continue
-            cuts = [0, *ends[last - 1].tolist()]
-            for j, (k, _) in enumerate(some):
-                found[k] = ids[cuts[j] : cuts[j + 1]]
-        rest = [k for k, x in enumerate(found) if x is None]
+        self.at[n + 1 : n + new + 1] = begin + np.cumsum(size)
+
+    def solve(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of words, and all their ids in order: by the library, of long words by the tree."""
+        size = np.zeros(len(texts), np.int64)
+        # A word of plain letters is one piece, which normalising doesn't change and whose last token has the end mark. So
+        # such words are encoded many to a text, without normaliser and splitter, and told apart.
+        plain = np.array([k for k, t in enumerate(texts) if PLAIN.fullmatch(t) and len(t) <= self.leaf] if self.marked_ends is not None else [], np.int64)
+        some = [" ".join([texts[k] for k in plain[lo : lo + 500]]) for lo in range(0, len(plain), 500)]
+        found = [x.ids for x in self.letters.encode_batch_fast(some, add_special_tokens=False)] if some else []
+        easy = np.fromiter(chain.from_iterable(found), np.uint32)
+        if len(plain):
+            ends = np.flatnonzero(self.marked_ends[easy]) + 1
+            if len(ends) == len(plain):
+                size[plain] = np.diff(ends, prepend=0)
+            else:
+                plain, easy = plain[:0], easy[:0]
+        hard: dict[int, list[int]] = {}
+        rest = np.setdiff1d(np.arange(len(texts)), plain, assume_unique=True).tolist()
         for lo in range(0, len(rest), 2000):
-            some = rest[lo : lo + 2000]
-            done = iter(self.tok.encode_batch_fast([texts[k] for k in some if len(texts[k]) <= self.leaf], add_special_tokens=False))
-            for k in some:
-                found[k] = next(done).ids if len(texts[k]) <= self.leaf else self.long(texts[k])
-        return found
+            part = rest[lo : lo + 2000]
+            done = iter(self.tok.encode_batch_fast([texts[k] for k in part if len(texts[k]) <= self.leaf], add_special_tokens=False))
+            for k in part:
+                hard[k] = next(done).ids if len(texts[k]) <= self.leaf else self.long(texts[k])
+                size[k] = len(hard[k])
+        begin = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), np.uint32)
+        ids[np.arange(len(easy)) + np.repeat(begin[plain] - (np.cumsum(size[plain]) - size[plain]), size[plain])] = easy
+        for k, x in hard.items():
+            ids[begin[k] : begin[k] + len(x)] = x
+        return size, ids
 
     def pieces(self, run: str) -> list[int | str]:
         """Ids of special tokens, and the splitter's pieces between them."""
