@@ -51,35 +51,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
-    n_rules, floor = 0, None
+    n_rules, fresh = 0, None
     while len(seq) > 1:
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        with np.errstate(over="ignore"):
-            slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
-        inner = ~last[:-1]
-        tally = np.bincount(slot[inner], minlength=1 << _HASH_BITS)
-        floor = max(min_count, int(tally.max()) // 4)
         chosen = np.zeros(0, np.int64)
-        while not len(chosen):
-            at = np.flatnonzero(inner & (tally[slot] >= floor))
-            names, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
-            at = at[(counts >= floor)[which]]
-            if len(at):
-                # of overlapping pairs every other one, from the left
-                head = np.concatenate([[True], np.diff(at) != 1])
-                begin = np.flatnonzero(head)[np.cumsum(head) - 1]
-                at = at[(np.arange(len(at)) - begin) % 2 == 0]
-                names, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
-                chosen = at[(counts >= min_count)[which]]
-            if not len(chosen):
-                if floor == min_count:
-                    chosen = _apart(keys, inner & (tally[slot] >= floor), min_count)
-                    break
-                floor = max(min_count, floor // 2)
+        if fresh is not None:
+            # from the last floor on, a pair that has become frequent has a nonterminal of the round before in it
+            new = seq >= fresh
+            chosen = _apart(seq, np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1]), min_count)
+        if not len(chosen):
+            chosen, floor = _frequent(seq, ~last[:-1], min_count)
         if not len(chosen):
             break
-        names, which = np.unique(keys[chosen], return_inverse=True)
+        names, which = np.unique(_pairs(seq, chosen), return_inverse=True)
         rules.append(np.stack([(names >> np.uint64(32)).astype(np.uint32), names.astype(np.uint32)], 1))
+        if floor == min_count:
+            fresh = base + n_rules
         seq[chosen] = (base + n_rules + which).astype(np.uint32)
         n_rules += len(names)
         last[chosen] = last[chosen + 1]
@@ -96,15 +82,48 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
     return seq, table, sizes[base:].astype(np.uint32), starts.astype(np.int64)
 
 
-def _apart(keys: np.ndarray, candidates: np.ndarray, min_count: int) -> np.ndarray:
-    """Places of pairs that stand ``min_count`` times, such that none overlap: the more frequent pair goes first, so the most frequent one keeps all its places."""
-    at = np.flatnonzero(candidates)
+def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+
+
+def _frequent(seq: np.ndarray, inner: np.ndarray, min_count: int) -> tuple[np.ndarray, int]:
+    """Places of pairs that stand at least a quarter as often as the most frequent one, none overlapping, and the least count that was asked for; lower counts where that gives none."""
+    keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+    with np.errstate(over="ignore"):
+        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
+    tally = np.bincount(slot, minlength=1 << _HASH_BITS) - np.bincount(slot[~inner], minlength=1 << _HASH_BITS)
+    floor = max(min_count, int(tally.max()) // 4)
+    while True:
+        at = np.flatnonzero(inner & (tally >= floor)[slot])
+        _, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
+        at = at[(counts >= floor)[which]]
+        if len(at):
+            # of overlapping pairs every other one, from the left
+            head = np.concatenate([[True], np.diff(at) != 1])
+            begin = np.flatnonzero(head)[np.cumsum(head) - 1]
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            _, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
+            at = at[(counts >= min_count)[which]]
+        if len(at):
+            return at, floor
+        if floor == min_count:
+            return _apart(seq, np.flatnonzero(inner & (tally >= floor)[slot]), min_count), floor
+        floor = max(min_count, floor // 2)
+
+
+def _apart(seq: np.ndarray, at: np.ndarray, min_count: int) -> np.ndarray:
+    """Of some places, those of pairs that stand ``min_count`` times there, such that none overlap: the more frequent pair goes first, so the most frequent one keeps all its places."""
+    if not len(at):
+        return at
+    keys = _pairs(seq, at)
     # a pair of equal ids overlaps itself: every other place of a run
-    new = np.concatenate([[True], (np.diff(at) != 1) | (keys[at[1:]] != keys[at[:-1]])]) if len(at) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)[np.cumsum(new) - 1] if len(at) else at
-    at = at[(np.arange(len(at)) - begin) % 2 == 0]
-    _, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
-    at, which = at[counts[which] >= min_count], which[counts[which] >= min_count]
+    new = np.concatenate([[True], (np.diff(at) != 1) | (keys[1:] != keys[:-1])])
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+    some = (np.arange(len(at)) - begin) % 2 == 0
+    at = at[some]
+    _, which, counts = np.unique(keys[some], return_inverse=True, return_counts=True)
+    enough = counts[which] >= min_count
+    at, which = at[enough], which[enough]
     if not len(at):
         return at
     order = np.empty(len(counts), np.int64)
