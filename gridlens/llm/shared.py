@@ -77,6 +77,27 @@ def dropped(*frames: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+class transient:
+    """Removes on leaving what was stored inside, but for the frames given to ``keep``.
+
+    ``with transient(spark) as t: out = t.keep(stored(made(df), "out"))`` leaves ``out`` alone of all steps of ``made``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before, self.held = spark, set(_kept), set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.held.add(_paths.get(df))
+        return df
+
+    def __enter__(self) -> transient:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in set(_kept) - self.before - self.held:
+            remove(self.spark, path)
+
+
 class fewer_shuffle_files:
     """While it lasts, shuffle files go with the query that wrote them, not when the driver happens to collect its garbage."""
 
