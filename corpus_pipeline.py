@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlens.llm import linededup, mixing, neardup, quality, wordbpe
-from gridlens.llm.shared import dropped, stored
+from gridlens.llm.shared import dropped, stored, transient
 
 #: Seeded block selection and the tokenizer have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None
@@ -47,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The one of least id stays, of equal ids the one of least text hash, a null id before others; a repeated row stays once.
     Documents without words (null, empty) are like no other and all stay. An empty table gives an empty one.
     """
-    kept = stored(neardup.keep_one(docs), "near", even=False)
+    with transient(spark) as steps:
+        kept = steps.keep(stored(neardup.keep_one(docs), "near", even=False))
     return _as(docs, linededup.drop_repeated(kept))
 
 
@@ -80,10 +81,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again. What a stage read goes when its successor stands."""
-    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each but the last is written to the shared folder and read again. What a stage has stored on its way, and what it read, goes when it stands."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, before, sf_dir), name, even=False)
+        with transient(spark) as steps:
+            before, docs = docs, steps.keep(stored(stage(spark, docs, sf_dir), name, even=False))
         dropped(before)
-        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
