@@ -81,6 +81,17 @@ def test_bpe_tokens(stages):
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in stages["bpe_tokens"].collect()) == want
 
 
+def test_steps_are_removed(spark, sf):
+    """Of all that a run stores, what the last stage still reads is left."""
+    from gridlens.llm import shared
+
+    before = set(shared._kept)
+    out = C.run(spark, sf)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(shared._kept) - before]
+    assert sorted(left) == ["parts", "source_mix"]
+    assert out.count() > 0
+
+
 def test_run(spark, sf, stages):
     rows = entry.queries()["pipeline"](spark, sf).collect()
     assert Counter(r.ids_sha256 for r in rows) == Counter(r.ids_sha256 for r in stages["bpe_tokens"].collect())
