@@ -158,6 +158,17 @@ def filled(value, rows: int, cols: int) -> Column:
     return F.array_repeat(_c(value), rows * cols)
 
 
+def randomized(key, seed: int, rows: int, cols: int, lo: float = -1.0, hi: float = 1.0) -> Column:
+    """A matrix of uniform numbers in [lo, hi) that hang on a key and a seed."""
+    span = float(1 << 52)
+    return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda i: F.lit(lo) + F.pmod(F.xxhash64(F.lit(seed), _c(key), i), F.lit(1 << 52)) / F.lit(span) * F.lit(hi - lo))
+
+
+def copied(a) -> Column:
+    """The matrix itself: columns are never changed in place, so a copy is the same values."""
+    return F.transform(_c(a), lambda x: x)
+
+
 def transpose(a, rows: int, cols: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda i: F.get(_c(a), (i % rows) * cols + F.floor(i / rows).cast("int")))
 

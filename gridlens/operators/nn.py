@@ -51,6 +51,17 @@ class Model:
         return sum(v.size for v in self.weights.values())
 
 
+@dataclass(frozen=True)
+class Optimizer:
+    """Settings of a training run. Of these the rate alone acts in ``step``; the others are kept with the results."""
+
+    rate: float = 0.01
+    momentum: float = 0.9
+    beta1: float = 0.9
+    beta2: float = 0.999
+    epsilon: float = 1e-8
+
+
 def conv(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Valid cross-correlation with ReLU of a batch (n, channels, h, w); and the unrolled windows."""
     k = w.shape[-1]
@@ -127,7 +138,9 @@ def gradients(m: Model, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndar
     return out, loss
 
 
-def step(m: Model, grads: dict[str, np.ndarray], rate: float) -> None:
+def step(m: Model, grads: dict[str, np.ndarray], rate: float | Optimizer) -> None:
+    """Weights less the rate times the gradient."""
+    rate = rate.rate if isinstance(rate, Optimizer) else rate
     for k in NAMES:
         m.weights[k] -= (rate * grads[k]).astype(np.float32)
 

@@ -363,6 +363,28 @@ def augmented_still(spark, d):
     return made.select("vec_id", F.get("px", F.lit(0)).cast("long").alias("still"), (F.get("px", F.lit(1)) == 1).alias("noisy_in_bounds"))
 
 
+@query("random_matrices", "SELECT count(*) AS n, 12 AS size, true AS in_bounds, true AS differ, true AS copied FROM orders")
+def random_matrices(spark, d):
+    """Matrices of uniform numbers by key: their size and bounds, that rows differ, and that a copy is equal."""
+    rows = _table(spark, d, "orders").select("o_orderkey", E.randomized("o_orderkey", 3, 3, 4, -0.5, 0.5).alias("m"))
+    every = F.array_min("m"), F.array_max("m")
+    differ = F.approx_count_distinct(F.get("m", F.lit(0))) > F.count(F.lit(1)) * 0.8
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("m")).alias("size"), ((F.min(every[0]) >= -0.5) & (F.max(every[1]) < 0.5)).alias("in_bounds"), differ.alias("differ"), F.min(E.copied("m") == F.col("m")).alias("copied"))
+
+
+@query("optimizer_settings", "SELECT CAST(k AS INTEGER) AS config_id, r::DOUBLE AS rate, m::DOUBLE AS momentum, 0.9::DOUBLE AS beta1, 0.999::DOUBLE AS beta2, true AS rate_alone_acts FROM (VALUES (1, 0.01, 0.0), (2, 0.01, 0.9), (3, 0.02, 0.9)) t(k, r, m)")
+def optimizer_settings(spark, d):
+    """Settings of optimisers, and that a step hangs on the rate alone."""
+    found = []
+    for k, (rate, momentum) in enumerate(((0.01, 0.0), (0.01, 0.9), (0.02, 0.9)), 1):
+        o, a, b = nn.Optimizer(rate, momentum), nn.Model(**_MODEL), nn.Model(**_MODEL)
+        grads = {name: np.ones_like(w) for name, w in a.weights.items()}
+        nn.step(a, grads, o)
+        nn.step(b, grads, rate)
+        found.append((k, o.rate, o.momentum, o.beta1, o.beta2, all(bool((a.weights[n] == b.weights[n]).all()) for n in nn.NAMES)))
+    return spark.createDataFrame(found, "config_id int, rate double, momentum double, beta1 double, beta2 double, rate_alone_acts boolean")
+
+
 # -- network ------------------------------------------------------------------------------
 
 _MODEL = {"side": SIDE, "kernel": 2, "maps": (2, 3), "hidden": 6}
