@@ -2,8 +2,8 @@
 
 Documents are sorted by id and encoded; each task cuts its range into shards of about
 ``SHARD_IDS`` ids. In a shard frequent pairs of neighbouring ids are replaced by new
-ids (nonterminals), round after round, from the most frequent down: a round replaces the
-pairs that occur at least a quarter as often as the most frequent one, and the last round is the one that finds no pair
+ids (nonterminals), level after level, from the most frequent down: a level replaces the
+pairs that occur at least a quarter as often as the most frequent one, and those that become so frequent by it; the last one finds no pair
 ``MIN_COUNT`` times. A pair never crosses
 the end of a document, so each document is a range of the compressed sequence.
 
@@ -20,7 +20,7 @@ half-written files never show.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -47,38 +47,49 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
     ``ends``: index after each document's last id. Nonterminals count on from ids.max() + 1.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
-    seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[ends - 1] = True
+    seq, edges = ids.astype(np.uint32), ends.astype(np.int64) - 1
     rules: list[np.ndarray] = []
-    n_rules, fresh = 0, None
+    fresh, floor = None, len(seq)
+
+    def named(names: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """New ids for different pairs, and of each place the one that it gets."""
+        begin = base + sum(map(len, rules))
+        rules.append(np.stack([(names >> np.uint64(32)).astype(np.uint32), names.astype(np.uint32)], 1))
+        return (begin + which).astype(np.uint32)
+
     while len(seq) > 1:
         chosen = np.zeros(0, np.int64)
         if fresh is not None:
-            # from the last floor on, a pair that has become frequent has a nonterminal of the round before in it
-            new = seq >= fresh
-            chosen = _apart(seq, np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1]), min_count)
+            # what has become frequent since the last full count has a nonterminal of the round before in it
+            if floor == min_count and 64 * len(fresh) < len(seq):
+                seq, edges = _settle(seq, edges, fresh, min_count, named)
+                fresh = None
+                continue
+            new = np.zeros(len(seq) + 1, bool)
+            new[fresh] = new[fresh - 1] = True
+            new[edges] = new[-1] = False
+            at = np.flatnonzero(new)
+            chosen = at[_apart(_pairs(seq, at), np.diff(at) == 1, floor)]
+            names, which = np.unique(_pairs(seq, chosen), return_inverse=True)
         if not len(chosen):
-            chosen, floor = _frequent(seq, ~last[:-1], min_count)
+            # while frequent pairs are few, a small table that stays in the cache tells them well enough
+            chosen, names, which, floor = _frequent(seq, edges[:-1], min_count, _HASH_BITS if floor <= 16 else _HASH_BITS - 3)
         if not len(chosen):
             break
-        names, which = np.unique(_pairs(seq, chosen), return_inverse=True)
-        rules.append(np.stack([(names >> np.uint64(32)).astype(np.uint32), names.astype(np.uint32)], 1))
-        if floor == min_count:
-            fresh = base + n_rules
-        seq[chosen] = (base + n_rules + which).astype(np.uint32)
-        n_rules += len(names)
-        last[chosen] = last[chosen + 1]
+        seq[chosen] = named(names, which)
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq = np.compress(keep, seq)
+        edges -= np.searchsorted(chosen + 1, edges, side="right")
+        # few replacements bring few more: the next level finds them
+        fresh = chosen - np.arange(len(chosen)) if floor == min_count or 64 * len(chosen) > len(seq) else None
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    sizes = np.ones(base + n_rules, np.int64)
+    sizes = np.ones(base + len(table), np.int64)
     done = base
     for r in rules:
         sizes[done : done + len(r)] = sizes[r[:, 0]] + sizes[r[:, 1]]
         done += len(r)
-    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]) if len(seq) else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], edges[:-1] + 1]) if len(seq) else np.zeros(0, np.int64)
     return seq, table, sizes[base:].astype(np.uint32), starts.astype(np.int64)
 
 
@@ -86,55 +97,94 @@ def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
 
 
-def _frequent(seq: np.ndarray, inner: np.ndarray, min_count: int) -> tuple[np.ndarray, int]:
-    """Places of pairs that stand at least a quarter as often as the most frequent one, none overlapping, and the least count that was asked for; lower counts where that gives none."""
-    keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+def _frequent(seq: np.ndarray, edges: np.ndarray, min_count: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places of pairs that stand at least a quarter as often as the most frequent one, none overlapping; the different pairs and which of them each is; and the least count that was asked for, lower where that gives none.
+
+    Counts are by hash first, which leaves few places to count exactly; no pair begins at ``edges``, where documents end.
+    """
     with np.errstate(over="ignore"):
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
-    tally = np.bincount(slot, minlength=1 << _HASH_BITS) - np.bincount(slot[~inner], minlength=1 << _HASH_BITS)
+        slot = seq[:-1] * np.uint32(0x9E3779B1)
+        slot += seq[1:] * np.uint32(0x85EBCA77)
+    slot >>= np.uint32(32 - bits)
+    slot = slot.astype(np.int64)
+    tally = np.bincount(slot, minlength=1 << bits)
+    np.subtract.at(tally, slot[edges], 1)
     floor = max(min_count, int(tally.max()) // 4)
     while True:
-        at = np.flatnonzero(inner & (tally >= floor)[slot])
-        _, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
-        at = at[(counts >= floor)[which]]
+        some = (tally >= floor)[slot]
+        some[edges] = False
+        near = at = np.flatnonzero(some)
+        names, which, counts = np.unique(_pairs(seq, at), return_inverse=True, return_counts=True)
+        mine = (counts >= floor)[which]
+        at, which = at[mine], which[mine]
         if len(at):
             # of overlapping pairs every other one, from the left
             head = np.concatenate([[True], np.diff(at) != 1])
             begin = np.flatnonzero(head)[np.cumsum(head) - 1]
-            at = at[(np.arange(len(at)) - begin) % 2 == 0]
-            _, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
-            at = at[(counts >= min_count)[which]]
-        if len(at):
-            return at, floor
+            other = (np.arange(len(at)) - begin) % 2 == 0
+            at, which = at[other], which[other]
+            good = np.bincount(which, minlength=len(names)) >= min_count
+            if good.any():
+                mine = good[which]
+                return at[mine], names[good], (np.cumsum(good) - 1)[which[mine]], floor
         if floor == min_count:
-            return _apart(seq, np.flatnonzero(inner & (tally >= floor)[slot]), min_count), floor
+            at = near[_apart(_pairs(seq, near), np.diff(near) == 1, min_count)]
+            return at, *np.unique(_pairs(seq, at), return_inverse=True), floor
         floor = max(min_count, floor // 2)
 
 
-def _apart(seq: np.ndarray, at: np.ndarray, min_count: int) -> np.ndarray:
-    """Of some places, those of pairs that stand ``min_count`` times there, such that none overlap: the more frequent pair goes first, so the most frequent one keeps all its places."""
-    if not len(at):
-        return at
-    keys = _pairs(seq, at)
+def _apart(keys: np.ndarray, near: np.ndarray, min_count: int) -> np.ndarray:
+    """Of the pairs at some places, in order, which to take: those that stand ``min_count`` times, none overlapping; ``near`` tells where a pair overlaps the next.
+
+    The more frequent pair goes first, so the most frequent one keeps all its places.
+    """
+    out = np.zeros(len(keys), bool)
+    if not len(keys):
+        return out
     # a pair of equal ids overlaps itself: every other place of a run
-    new = np.concatenate([[True], (np.diff(at) != 1) | (keys[1:] != keys[:-1])])
+    new = np.concatenate([[True], ~near | (keys[1:] != keys[:-1])])
     begin = np.flatnonzero(new)[np.cumsum(new) - 1]
-    some = (np.arange(len(at)) - begin) % 2 == 0
-    at = at[some]
+    some = np.flatnonzero((np.arange(len(keys)) - begin) % 2 == 0)
     _, which, counts = np.unique(keys[some], return_inverse=True, return_counts=True)
     enough = counts[which] >= min_count
-    at, which = at[enough], which[enough]
-    if not len(at):
-        return at
+    some, which = some[enough], which[enough]
+    if not len(some):
+        return out
     order = np.empty(len(counts), np.int64)
     order[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
     rank = order[which]
-    near = np.diff(at) == 1
-    wins = np.ones(len(at), bool)
-    wins[1:] &= ~near | (rank[1:] < rank[:-1])
-    wins[:-1] &= ~near | (rank[:-1] < rank[1:])
-    at, which = at[wins], which[wins]
-    return at[np.bincount(which, minlength=len(counts))[which] >= min_count]
+    meets = (np.diff(some) == 1) & near[some[:-1]]
+    wins = np.ones(len(some), bool)
+    wins[1:] &= ~meets | (rank[1:] < rank[:-1])
+    wins[:-1] &= ~meets | (rank[:-1] < rank[1:])
+    some, which = some[wins], which[wins]
+    out[some[np.bincount(which, minlength=len(counts))[which] >= min_count]] = True
+    return out
+
+
+def _settle(seq: np.ndarray, edges: np.ndarray, fresh: np.ndarray, min_count: int, named: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Round after round among the neighbours of the last replacements, until none is left; the sequence is a linked list meanwhile, so a round costs no more than it replaces."""
+    n = len(seq)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    end, gone = np.zeros(n, bool), np.zeros(n, bool)
+    end[edges] = True
+    while len(fresh):
+        at = np.unique(np.concatenate([fresh, before[fresh]]))
+        at = at[at >= 0]
+        at = at[~end[at]]
+        keys = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[after[at]]
+        take = _apart(keys, after[at[:-1]] == at[1:], min_count)
+        fresh = at[take]
+        if len(fresh):
+            lost = after[fresh]
+            seq[fresh] = named(*np.unique(keys[take], return_inverse=True))
+            end[fresh] = end[lost]
+            gone[lost] = True
+            after[fresh] = after[lost]
+            inner = after[fresh] < n
+            before[after[fresh[inner]]] = fresh[inner]
+    keep = ~gone
+    return np.compress(keep, seq), np.flatnonzero(np.compress(keep, end))
 
 
 def expand(seq: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
@@ -179,7 +229,13 @@ class Shard:
         return out
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.base, self.rules)
+        """Every id: each rule is expanded once and copied to where it stands."""
+        if not len(self.rules):
+            return self.seq
+        flat = np.concatenate([np.arange(self.base, dtype=np.uint32), expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.base, self.rules)])
+        size = np.concatenate([np.ones(self.base, np.int64), self.sizes])
+        begin, width = (np.cumsum(size) - size)[self.seq], size[self.seq]
+        return flat[np.arange(int(width.sum())) + np.repeat(begin - (np.cumsum(width) - width), width)]
 
     def document(self, begin: int, end: int | None) -> np.ndarray:
         """A document by its range of the sequence."""
