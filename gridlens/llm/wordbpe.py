@@ -51,8 +51,6 @@ LEAF = 1024
 PART = 1 << 16
 #: Words that a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 2_000_000
-#: Letters whose form no normaliser changes.
-PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 _encoders: dict[tuple[str, int], WordBpe] = {}
 
 # The normaliser and splitter for which cuts are right.
@@ -96,6 +94,25 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return K._runs(~K._SEP[data], off, cuts)
 
 
+def _small_letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters that no normaliser changes: a to z, and in two bytes those from U+00DF to U+00FF (but the sign U+00F7)."""
+    out = (data >= 0x61) & (data <= 0x7A)
+    pair = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] <= 0xBF) & (data[1:] != 0xB7))
+    out[pair] = out[pair + 1] = True
+    return out
+
+
+def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Spans with a space behind each, and where each begins and the last ends."""
+    size = ends - starts
+    to = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(to[-1]), 0x20, np.uint8)
+    step = np.arange(int(size.sum()))
+    before = np.cumsum(size) - size
+    out[step + np.repeat(to[:-1] - before, size)] = data[step + np.repeat(starts - before, size)]
+    return out.tobytes(), to
+
+
 def check_rules(path: str) -> None:
     """Refuses a vocabulary whose normaliser or splitter is another."""
     with open(path, encoding="utf-8") as f:
@@ -151,14 +168,9 @@ class WordBpe:
             self.forget()
         data = self.lowered(data, off)
         starts, ends, first = units(data, off)
-        body = data.tobytes()
-
-        def texts(some: np.ndarray) -> list[str]:
-            return [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
-
-        found, odd = numbered(self.known, data, starts, ends, lambda one: self.learn(texts(one)))
+        found, odd = numbered(self.known, data, starts, ends, lambda one: self.learn(data, starts[one], ends[one]))
         size = self.at[found + 1] - self.at[found] if len(found) else np.zeros(0, np.int64)
-        apart = [x for k in odd for x in [self.solve(texts(np.array([k])))[1]]]
+        apart = [self.solve(data, starts[k : k + 1], ends[k : k + 1])[1] for k in odd]
         size[odd] = [len(x) for x in apart]
         edge = np.concatenate([[0], np.cumsum(size)])
         begin = self.at[found]
@@ -184,35 +196,40 @@ class WordBpe:
         upper = (data >= 0x41) & (data <= 0x5A) & np.repeat(plain, np.diff(off))
         return data + (upper.view(np.uint8) << 5)
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Keeps the ids of new words, behind those of the words known so far."""
-        size, ids = self.solve(texts)
-        n, new = self.known.n, len(texts)
+        size, ids = self.solve(data, starts, ends)
+        n, new = self.known.n, len(starts)
         self.at = grown(self.at, n + new + 1)
         begin = int(self.at[n])
         self.pool = grown(self.pool, begin + len(ids))
         self.pool[begin : begin + len(ids)] = ids
         self.at[n + 1 : n + new + 1] = begin + np.cumsum(size)
 
-    def solve(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def solve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of words, and all their ids in order: by the library, of long words by the tree."""
-        size = np.zeros(len(texts), np.int64)
+        size = np.zeros(len(starts), np.int64)
         # A word of plain letters is one piece, which normalising doesn't change and whose last token has the end mark. So
         # such words are encoded many to a text, without normaliser and splitter, and told apart.
-        plain = np.array([k for k, t in enumerate(texts) if PLAIN.fullmatch(t) and len(t) <= self.leaf] if self.marked_ends is not None else [], np.int64)
-        some = [" ".join([texts[k] for k in plain[lo : lo + 500]]) for lo in range(0, len(plain), 500)]
+        plain, some = np.zeros(0, np.int64), []
+        if self.marked_ends is not None:
+            marks = np.concatenate([[0], np.cumsum(~_small_letters(data))])
+            plain = np.flatnonzero((marks[ends] == marks[starts]) & (ends - starts <= self.leaf))
+            body, cuts = _spaced(data, starts[plain], ends[plain])
+            some = [body[a : b - 1].decode() for a, b in zip(cuts[:-1:500], [*cuts[500:-1:500], cuts[-1]], strict=True)] if len(plain) else []
         found = [x.ids for x in self.letters.encode_batch_fast(some, add_special_tokens=False)] if some else []
         easy = np.fromiter(chain.from_iterable(found), np.uint32)
         if len(plain):
-            ends = np.flatnonzero(self.marked_ends[easy]) + 1
-            if len(ends) == len(plain):
-                size[plain] = np.diff(ends, prepend=0)
+            last = np.flatnonzero(self.marked_ends[easy]) + 1
+            if len(last) == len(plain):
+                size[plain] = np.diff(last, prepend=0)
             else:
                 plain, easy = plain[:0], easy[:0]
         hard: dict[int, list[int]] = {}
-        rest = np.setdiff1d(np.arange(len(texts)), plain, assume_unique=True).tolist()
+        rest = np.setdiff1d(np.arange(len(starts)), plain, assume_unique=True)
+        texts = {int(k): data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") for k in rest}
         for lo in range(0, len(rest), 2000):
-            part = rest[lo : lo + 2000]
+            part = rest[lo : lo + 2000].tolist()
             done = iter(self.tok.encode_batch_fast([texts[k] for k in part if len(texts[k]) <= self.leaf], add_special_tokens=False))
             for k in part:
                 hard[k] = next(done).ids if len(texts[k]) <= self.leaf else self.long(texts[k])
