@@ -372,8 +372,8 @@ def random_matrices(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("m")).alias("size"), ((F.min(every[0]) >= -0.5) & (F.max(every[1]) < 0.5)).alias("in_bounds"), differ.alias("differ"), F.min(E.copied("m") == F.col("m")).alias("copied"))
 
 
-@query("optimizer_settings", "SELECT CAST(k AS INTEGER) AS config_id, r::DOUBLE AS rate, m::DOUBLE AS momentum, 0.9::DOUBLE AS beta1, 0.999::DOUBLE AS beta2, true AS rate_alone_acts FROM (VALUES (1, 0.01, 0.0), (2, 0.01, 0.9), (3, 0.02, 0.9)) t(k, r, m)")
-def optimizer_settings(spark, d):
+@query("training_settings", "SELECT CAST(k AS INTEGER) AS config_id, r::DOUBLE AS rate, m::DOUBLE AS momentum, 0.9::DOUBLE AS beta1, 0.999::DOUBLE AS beta2, true AS rate_alone_acts FROM (VALUES (1, 0.01, 0.0), (2, 0.01, 0.9), (3, 0.02, 0.9)) t(k, r, m)")
+def training_settings(spark, d):
     """Settings of optimisers, and that a step hangs on the rate alone."""
     found = []
     for k, (rate, momentum) in enumerate(((0.01, 0.0), (0.01, 0.9), (0.02, 0.9)), 1):
