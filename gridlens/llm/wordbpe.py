@@ -137,11 +137,8 @@ class WordBpe:
         check_rules(path)
         self.tok = Tokenizer.from_file(path)
         #: The same vocabulary for words of plain letters with spaces between.
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = None
+        self.letters = Tokenizer(self.tok.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.letters.no_truncation()
-        self.letters.no_padding()
         self.tok.no_truncation()
         self.tok.no_padding()
         self.leaf = leaf
