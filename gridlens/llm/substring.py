@@ -95,8 +95,11 @@ def _report(block: int, parts: list[np.ndarray], n: int, counts: list[np.ndarray
     return B.report(block, keys, counts, None, n)
 
 
-def longest_levels(docs: DataFrame, found: DataFrame, n_blocks: int, min_words: int, levels: int | None) -> DataFrame:
-    """Doubles the windows ``found`` until none survives (or ``levels`` times): rows of ``STATE``, stored, with the documents' ``best``."""
+def longest_levels(docs: DataFrame, found: DataFrame, n_blocks: int, min_words: int, levels: int | None) -> tuple[DataFrame, DataFrame]:
+    """Doubles the windows ``found`` until none survives (or ``levels`` times): ``found`` itself and rows of ``STATE`` with the documents' ``best``, both stored.
+
+    The first table holds both, so documents are dealt once for all that leads there.
+    """
     spark = docs.sparkSession
     buckets = B.bucket_count(spark, n_blocks)
 
@@ -113,6 +116,7 @@ def longest_levels(docs: DataFrame, found: DataFrame, n_blocks: int, min_words:
         if not len(table) or not len(known):
             return pa.Table.from_pylist([], schema=_STATE)
         block = table["block"][0].as_py()
+        told = {c: None for c in STATE.names} | {"block": block, "keys": known.tobytes()}
         names, best, docs_at, ats, keys, done = [], [], [], [], [], set()
         body, row = table["text"].to_pylist(), 0
         for _, _, _, first, words, room in _per_slice(table["text"]):
@@ -139,7 +143,7 @@ def longest_levels(docs: DataFrame, found: DataFrame, n_blocks: int, min_words:
                         keys.append(hashes[a + at])
             row += len(first) - 1
         none = np.zeros(0, np.int64)
-        return pa.Table.from_pylist([_packed(block, np.array(names, np.int64), np.array(best, np.int64), np.concatenate([*docs_at, none]), np.concatenate([*ats, none]), np.concatenate([*keys, none.astype(np.uint64)]))], schema=_STATE)
+        return pa.Table.from_pylist([told, _packed(block, np.array(names, np.int64), np.array(best, np.int64), np.concatenate([*docs_at, none]), np.concatenate([*ats, none]), np.concatenate([*keys, none.astype(np.uint64)]))], schema=_STATE)
 
     def candidates(length: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +172,17 @@ def longest_levels(docs: DataFrame, found: DataFrame, n_blocks: int, min_words:
         return run
 
     copies = B.exchange(B.first_reports(docs, sequences), n_blocks, 2)
-    state = stored(B.answered(docs, found.unionByName(copies), begin, STATE), "level", even=False)
-    level = 0
+    first = stored(B.answered(docs, found.unionByName(copies), begin, STATE), "found", even=False)
+    none = F.lit(None).cast("binary")
+    found = first.where("names IS NULL").select(F.lit(0).cast("long").alias("bucket"), "block", "keys", none.alias("firsts"), none.alias("counts"))
+    state, level = first.where("names IS NOT NULL"), 0
     while (levels is None or level < levels) and not state.where(F.octet_length("keys") > 0).isEmpty():
         length = min_words << level
         answers = B.exchange(state.mapInArrow(candidates(length), B.REPORT), n_blocks, 2)
         after = stored(B.answered(state, answers, survive(length), STATE), "level", even=False)
         dropped(state)
         state, level = after, level + 1
-    return state
+    return found, state
 
 
 _STATE = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("names", "best", "first", "begin", "size", "keys")]])
@@ -274,8 +280,7 @@ def repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None, mi
     answers = B.exchange(B.first_reports(docs, halves), n, 2)
     answers = B.exchange(B.answered(docs, answers, wholes), n, 2)
     if levels != 0:
-        answers = stored(answers, "found", even=False)
-        state = longest_levels(docs, answers, n, min_words, levels)
+        answers, state = longest_levels(docs, answers, n, min_words, levels)
 
         def bests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
