@@ -167,8 +167,8 @@ def exchange(reports: DataFrame, n_blocks: int, threshold: int, tell_counts: boo
 
 
 def bucket_count(spark: SparkSession, n_blocks: int) -> int:
-    """As many buckets as blocks, and one for each partition of a shuffle at least."""
-    return max(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """As many buckets as blocks, and four for each partition of a shuffle at least, so that partitions are alike."""
+    return max(n_blocks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def first_reports(blocks: DataFrame, emit: Callable[[pa.Table], pa.Table]) -> DataFrame:

@@ -120,12 +120,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of an Arrow batch between Spark and Python, at most. Texts are long, and a batch lies in memory three times over.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between Spark and Python, at most. Texts are long, and a batch lies in memory three times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``; plans read it when they run, so it stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's rows and bytes per Arrow batch to ``BATCH_ROWS`` and ``BATCH_BYTES``; plans read them when they run, so they stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).strip().lower()
+        if not (now.removesuffix("b").isdigit() and 0 < int(now.removesuffix("b")) <= most):
+            spark.conf.set(key, str(most))
