@@ -26,7 +26,7 @@ class Memo:
         self.n = 0
         self.keys = np.zeros(1 << 12, np.uint64)
         self.slots = np.full(1 << 14, -1, np.int32)
-        self.sizes = np.zeros(1 << 12, np.int64)
+        self.sizes = np.zeros(1 << 12, np.uint16)
         self.begin = np.zeros((1 << 12) + 1, np.int64)
         self.body = np.zeros(1 << 14, np.uint64)
 
