@@ -116,7 +116,7 @@ def components(links: DataFrame) -> DataFrame:
     """node and comp (the least node of its component) of every node that has a link in (a, b).
 
     Least labels pass along links and then along themselves (a label takes its own label's
-    label), so rounds grow with the logarithm of a chain, not with its length.
+    label), so rounds grow with the logarithm of a chain, not with its length. A round is one table.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels")
@@ -124,10 +124,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         met = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        met = stored(met, "labels")
         up = met.select(F.col("node").alias("up_node"), F.col("comp").alias("up"))
         new = stored(met.join(up, met["comp"] == up["up_node"]).select("node", "was", F.least("comp", "up").alias("comp")), "labels")
-        dropped(met, last)
+        dropped(last)
         labels, last = new.select("node", "comp"), new
         if new.where("was <> comp").isEmpty():
             dropped(both)
