@@ -227,9 +227,11 @@ cell AS (SELECT puzzle_id, i, CAST((CAST(substr('{FULL}', i + 1, 1) AS INTEGER)
 made AS (SELECT puzzle_id, string_agg(CASE WHEN gone THEN '.' ELSE CAST(d AS VARCHAR) END, '' ORDER BY i) AS grid, string_agg(CAST(d AS VARCHAR), '' ORDER BY i) AS full_grid FROM cell GROUP BY puzzle_id)"""
 
 
-def made_puzzles(spark: SparkSession, d: str) -> DataFrame:
-    """puzzle_id, grid and full_grid of a puzzle for every customer."""
-    rows = _table(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("puzzle_id"), F.col("c_nationkey").alias("shift"), F.col("c_custkey").alias("k"))
+def made_puzzles(spark: SparkSession, d: str, dealt: bool = False) -> DataFrame:
+    """puzzle_id, grid and full_grid of a puzzle for every customer; ``dealt`` to as many tasks as a shuffle has, as the table's few splits hold much work each."""
+    table = _table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    table = table.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)) if dealt else table
+    rows = table.select(F.col("c_custkey").cast("int").alias("puzzle_id"), F.col("c_nationkey").alias("shift"), F.col("c_custkey").alias("k"))
     steps = F.sequence(F.lit(0), F.lit(80))
 
     def digit(i):
@@ -309,16 +311,16 @@ def solved_drawings(spark, d):
     edge = [(0.0, 0.0), (side - 1.0, 0.0), (side - 1.0, side - 1.0), (0.0, side - 1.0)]
 
     def run(batches):
-        blank = np.zeros((side, side, 3), np.uint8)
+        blank, carrier = np.zeros((side, side, 3), np.uint8), draw.Carrier(side, side, edge, side)
         for batch in batches:
             counts = []
-            for row in batch.to_pylist():
-                flat = draw.solved_grid(blank, row["grid"], row["full_grid"])
-                carried = draw.solved_photo(blank, edge, row["grid"], row["full_grid"], side)
-                counts.append([int((x[..., 0] == 255).sum()) for x in (flat, carried)])
+            for clues, full in zip(batch["grid"].to_pylist(), batch["full_grid"].to_pylist(), strict=True):
+                flat = draw.solved_grid(blank, clues, full)
+                carried = draw.solved_photo(blank, edge, clues, full, carrier=carrier)
+                counts.append([np.count_nonzero(x[..., 0] == 255) for x in (flat, carried)])
             yield pa.RecordBatch.from_arrays([batch["puzzle_id"], *[pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)]], names=["puzzle_id", "on_grid", "on_photo"])
 
-    return made_puzzles(spark, d).mapInArrow(run, "puzzle_id int, on_grid long, on_photo long")
+    return made_puzzles(spark, d, dealt=True).mapInArrow(run, "puzzle_id int, on_grid long, on_photo long")
 
 
 # -- samples ------------------------------------------------------------------------------

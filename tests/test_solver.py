@@ -56,3 +56,30 @@ def test_puzzle_text(spark, tmp_path):
     lines = ["A title:"] + [" ".join(PUZZLES[2][r * 9 : r * 9 + 9]) + " " for r in range(9)]
     (tmp_path / "p.txt").write_text("\n".join(lines))
     assert read_puzzle(spark, str(tmp_path / "p.txt")) == PUZZLES[2]
+
+
+def test_drawings_share_their_homography(spark, sf, monkeypatch):
+    """The homography of a quadrilateral is fitted once for many photos, and each is coloured pixel by pixel as by hand."""
+    fits, size, quad = [], 90, [(3.0, 5.0), (120.0, 9.0), (110.0, 95.0), (8.0, 90.0)]
+    monkeypatch.setattr(draw, "homography", lambda *a: fits.append(1) or K.homography(*a))
+    carrier = draw.Carrier(100, 130, quad, size)
+    m = K.homography(quad, [(0, 0), (size - 1, 0), (size - 1, size - 1), (0, size - 1)])
+    for clues in (PUZZLES[1], "." * 81, PUZZLES[4]):
+        img = np.random.default_rng(1).integers(0, 200, (100, 130, 3), dtype=np.uint8)
+        got = draw.solved_photo(img, quad, clues, PUZZLES[4], size, carrier=carrier)
+        flat = draw.solved_grid(np.zeros((size, size), np.uint8), clues, PUZZLES[4], 1)
+        for y in range(100):
+            for x in range(130):
+                u, v, w = m @ (x, y, 1.0)
+                u, v = round(u / w), round(v / w)
+                lit = 0 <= u < size and 0 <= v < size and flat[v, u]
+                assert tuple(got[y, x]) == ((255, 0, 0) if lit else tuple(img[y, x])), (x, y)
+    assert len(fits) == 1
+
+
+def test_drawings_are_dealt(spark, sf):
+    """The customers' few splits hold much work each, so rows are dealt out before they are drawn."""
+    from gridlens.plans.catalogue import QUERIES
+
+    assert spark.read.parquet(f"{sf}/customer.parquet").rdd.getNumPartitions() == 1
+    assert QUERIES["solved_drawings"](spark, sf).rdd.getNumPartitions() == 4
