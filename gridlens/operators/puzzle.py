@@ -48,6 +48,19 @@ def completeness(grid_cells: DataFrame, key: str = "puzzle_id") -> DataFrame:
     return out.select(key, "filled", "bad_units", ((F.col("filled") == 81) & (F.col("bad_units") == 0)).alias("complete"))
 
 
+def is_complete(grid: Column) -> Column:
+    """Whether a grid is full and breaks no unit, from its own row; false of null."""
+
+    def part(at: int, n: int) -> Column:
+        return F.substring(grid, at + 1, F.lit(n))
+
+    rows = [part(9 * k, 9) for k in range(9)]
+    columns = [F.concat(*[part(9 * r + k, 1) for r in range(9)]) for k in range(9)]
+    boxes = [F.concat(*[part(k // 3 * 27 + r * 9 + k % 3 * 3, 3) for r in range(3)]) for k in range(9)]
+    twice = F.concat_ws(" ", *rows, *columns, *boxes).rlike("([1-9])[1-9]*\\1")
+    return F.coalesce(grid.rlike("^[1-9]{81}\\z") & ~twice, F.lit(False))
+
+
 def allowed(grid_cells: DataFrame, key: str = "puzzle_id") -> DataFrame:
     """key, idx and d of digits that an empty cell's units don't hold yet: an anti join by unit."""
     seen = grid_cells.where("d > 0").select(key, "d", units().alias("u")).select(key, "u.kind", "u.unit", "d").distinct()
@@ -99,6 +112,8 @@ def solutions(spark: SparkSession, puzzles: DataFrame) -> DataFrame:
 # -- depth-first search -----------------------------------------------------------------
 
 _UNITS = [(r, 9 + c, 18 + r // 3 * 3 + c // 3) for r in range(9) for c in range(9)]
+#: Bits of the digits 1..9.
+_ALL = 0b1111111110
 
 
 class Board:
@@ -136,10 +151,6 @@ class Board:
     def text(self) -> str:
         return "".join(map(str, self.d))
 
-    def in_order(self) -> int:
-        """The first empty cell, row by row; -1 if none."""
-        return self.d.index(0) if 0 in self.d else -1
-
     def fewest(self) -> int:
         """The empty cell of fewest choices, the first of equals; -1 if none."""
         best, least = -1, 10
@@ -178,9 +189,49 @@ def search(board: Board, pick: Callable[[Board], int], most: int = 1) -> list[st
         i = pick(board)
 
 
+def first_solution(d: list[int], used: list[int], cells: list[int]) -> list[int] | None:
+    """The lexicographically first solution of digits and unit masks without clashes, whose empty ``cells`` stand in order; fills both lists.
+
+    What can only be one digit is put first, in all solutions alike; then the first cell left takes its digits in turn.
+    """
+    while True:
+        rest = []
+        for i in cells:
+            a, b, c = _UNITS[i]
+            free = _ALL & ~(used[a] | used[b] | used[c])
+            if not free:
+                return None
+            if free & (free - 1):
+                rest.append(i)
+            else:
+                d[i] = free.bit_length() - 1
+                used[a] |= free
+                used[b] |= free
+                used[c] |= free
+        if not rest:
+            return d
+        if len(rest) == len(cells):
+            break
+        cells = rest
+    a, b, c = _UNITS[rest[0]]
+    free = _ALL & ~(used[a] | used[b] | used[c])
+    while free:
+        bit = free & -free
+        free ^= bit
+        e, masks = d[:], used[:]
+        e[rest[0]] = bit.bit_length() - 1
+        for u in (a, b, c):
+            masks[u] |= bit
+        if found := first_solution(e, masks, rest[1:]):
+            return found
+    return None
+
+
 def solve(grid: str) -> str | None:
     """The lexicographically first solution."""
-    return next(iter(search(Board(grid), Board.in_order)), None)
+    board = Board(grid)
+    found = first_solution(board.d, board.used, [i for i, d in enumerate(board.d) if not d]) if board.valid else None
+    return "".join(map(str, found)) if found else None
 
 
 def solve_fewest(grid: str) -> str | None:
@@ -199,26 +250,48 @@ def find_clues(ranked: list[tuple[int, list[int]]], calls: int = CLUE_CALLS, bea
     each cell one of its first ``beam`` digits, depth first, such that clues don't clash and the puzzle has a
     solution; None if there is none or after ``calls`` steps.
     """
-    board, left = Board(""), [calls]
-
-    def step(k: int) -> tuple[str, str] | None:
-        left[0] -= 1
-        if left[0] < 0:
-            return None
-        if k == len(ranked):
-            clues = board.text()
-            solved = solve(clues)
-            return (clues, solved) if solved else None
-        cell, digits = ranked[k]
-        for d in digits[:beam]:
-            if board.fits(cell, d):
-                board.put(cell, d)
-                if found := step(k + 1):
-                    return found
-                board.take(cell)
-        return None
-
-    return step(0)
+    offers = [(*_UNITS[cell], [1 << d for d in digits[:beam]]) for cell, digits in ranked]
+    clued = {cell for cell, _ in ranked}
+    empty = [i for i in range(81) if i not in clued]
+    used, n, k = [0] * 27, len(ranked), 0
+    left, put = [iter(())] * n, [0] * n  # of each cell the digits not tried yet, and the one that stands
+    while calls > 0:
+        calls -= 1
+        if k < n:
+            a, b, c, bits = offers[k]
+            left[k], bit = iter(bits), 0
+        else:
+            d = [0] * 81
+            for (cell, _), bit in zip(ranked, put, strict=True):
+                d[cell] = bit.bit_length() - 1
+            clues = "".join(map(str, d))
+            if solved := first_solution(d, used[:], empty):
+                return clues, "".join(map(str, solved))
+            bit = -1
+        while True:  # the next digit of this cell that fits, or back to the cell before
+            if bit < 0:
+                k -= 1
+                if k < 0:
+                    return None
+                a, b, c, _ = offers[k]
+                bit = put[k]
+                used[a] ^= bit
+                used[b] ^= bit
+                used[c] ^= bit
+            taken = used[a] | used[b] | used[c]
+            for bit in left[k]:
+                if not taken & bit:
+                    break
+            else:
+                bit = -1
+                continue
+            break
+        used[a] |= bit
+        used[b] |= bit
+        used[c] |= bit
+        put[k] = bit
+        k += 1
+    return None
 
 
 def solve_puzzles(df: DataFrame, key: str = "puzzle_id", grid: str = "grid", most: int = 2) -> DataFrame:
@@ -266,8 +339,8 @@ def safe_counts(df: DataFrame, key: str = "puzzle_id", grid: str = "grid") -> Da
 
 
 def search_clues(df: DataFrame, key: str = "puzzle_id") -> DataFrame:
-    """key, clues and solution: the clue search over grids whose given cells (``grid``) are ranked with a wrong digit before that of ``solution``."""
-    made = T.StructType([df.schema[key], T.StructField("clues", T.StringType()), T.StructField("solution", T.StringType())])
+    """key, grid, clues and solution: the clue search over grids whose given cells (``grid``) are ranked with a wrong digit before that of ``solution``."""
+    made = T.StructType([df.schema[key], T.StructField("grid", T.StringType()), T.StructField("clues", T.StringType()), T.StructField("solution", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +349,7 @@ def search_clues(df: DataFrame, key: str = "puzzle_id") -> DataFrame:
                 cells = [k for k, c in enumerate(grid) if c not in ".0"]
                 ranked = [(k, [int(solved[k]) % 9 + 1, int(solved[k])] if n < 4 else [int(solved[k])]) for n, k in enumerate(cells)]
                 found.append(find_clues(ranked) or (None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=made.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=made.names)
 
     return df.select(key, "grid", "solution").mapInArrow(run, made)
 
