@@ -19,10 +19,12 @@ or more, and classes are the connected components of links.
    at most one link a member, so rows stay in proportion to members even in a
    group of thousands; what grows with the square are comparisons, between components that stars left apart,
    and copies of rows by the number of blocks: of signatures one for ``SIGNATURES`` members, of texts, where signatures leave
-   pairs open, one for ``CHUNK``.
+   pairs open, one for ``CHUNK``. What this finds joins whole components, so only these go through the rounds again.
 
 Every link is checked on whole texts. What the steps share is written to the shared
-folder, so a lost executor costs its tasks alone; nothing of the corpus is collected.
+folder, so a lost executor costs its tasks alone; nothing of the corpus is collected. Tables that come
+from a shuffle, or row by row from the input, are written as they lie: dealing them out again would cost a shuffle and, where
+partitions are small, a task for every few rows. Links alone are, being far fewer than the texts they come from.
 """
 
 from __future__ import annotations
@@ -118,14 +120,14 @@ def components(links: DataFrame) -> DataFrame:
     Least labels pass along links and then along themselves (a label takes its own label's
     label), so rounds grow with the logarithm of a chain, not with its length. A round is one table.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels")
+    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "both", even=False)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels", even=False)
     last = labels
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         met = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         up = met.select(F.col("node").alias("up_node"), F.col("comp").alias("up"))
-        new = stored(met.join(up, met["comp"] == up["up_node"]).select("node", "was", F.least("comp", "up").alias("comp")), "labels")
+        new = stored(met.join(up, met["comp"] == up["up_node"]).select("node", "was", F.least("comp", "up").alias("comp")), "labels", even=False)
         dropped(last)
         labels, last = new.select("node", "comp"), new
         if new.where("was <> comp").isEmpty():
@@ -140,27 +142,27 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold:
     its own. Null ids sort first. Rows may repeat and then share a class. Other columns play no part.
     An empty table gives an empty result. ``slack`` None compares all pairs of a bucket on whole texts.
     """
-    rows = stored(signed(df, text, order), "signatures")
+    rows = stored(signed(df, text, order), "signatures", even=False)
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.max(F.struct("bands", "sig")).alias("s"))
-    nodes = stored(nodes.select("node", "first", "s.bands", "s.sig"), "nodes")
+    nodes = stored(nodes.select("node", "first", "s.bands", "s.sig"), "nodes", even=False)
 
     # buckets with company, and the most popular member of each
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(spread.join(sizes, "bucket"), "buckets")
+    members = stored(spread.join(sizes, "bucket"), "buckets", even=False)
     popular = members.groupBy("node").agg(F.sum("size").alias("company"))
     ranked = members.select("bucket", "node").join(popular, "node")
-    ranked = stored(ranked.select("bucket", F.struct(-F.col("company"), "node").alias("rank"), "node"), "ranked")
+    ranked = stored(ranked.select("bucket", F.struct(-F.col("company"), "node").alias("rank"), "node"), "ranked", even=False)
     centres = ranked.groupBy("bucket").agg(F.min("rank").alias("top")).select("bucket", F.col("top.node").alias("centre"))
-    seated = stored(ranked.select("bucket", "node").join(centres, "bucket"), "seated")
+    seated = stored(ranked.select("bucket", "node").join(centres, "bucket"), "seated", even=False)
     pairs = seated.where("node <> centre").select("node", "centre").distinct()
-    pairs = stored(pairs, "pairs")
+    pairs = stored(pairs, "pairs", even=False)
 
     # whole texts of the nodes concerned, one document each
     asked = members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first.id").alias("its_id"), F.col("first.mark").alias("its_mark"))
     plain = df.select(F.col(_q(order)).alias("id"), F.xxhash64(F.col(_q(text)).cast("string")).alias("mark"), F.col(_q(text)).cast("string").alias("text"))
     texts = plain.join(asked, (plain["mark"] == asked["its_mark"]) & plain["id"].eqNullSafe(asked["its_id"]))
-    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts", even=False)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -222,28 +224,30 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", threshold:
         return table.select(["bucket", "node", "comp"]).filter(pa.array(found))
 
     some = dealt(rest.select("bucket", "node", "comp").join(apart, "bucket")).groupBy("bucket", "lo", "hi").applyInArrow(open_members, "bucket long, node binary, comp binary")
-    some = stored(some.distinct(), "open")
+    some = stored(some.distinct(), "open", even=False)
     held = some.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
     blocks = held.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(chunk)), F.ceil(F.sum("bytes") / F.lit(CHUNK_BYTES))).alias("n_chunks"))
     held = dealt(some.join(blocks, "bucket")).join(texts, "node")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        cell, sets, node, found = Cell(key, table), _each(table["text"]), table["node"].to_pylist(), []
+        """Components that a pair joins."""
+        cell, sets, comp, found = Cell(key, table), _each(table["text"]), table["comp"].to_pylist(), []
         weight, top = np.array([s[1].sum() for s in sets]), cell.top
         for x in range(len(sets)):
             at = cell.candidates(x)
             for y in at[np.minimum(weight[at], weight[x]) >= threshold * np.maximum(weight[at], weight[x])]:
                 if top[y] != top[x] and similarity(sets[x], sets[y]) >= threshold:
-                    found.append((node[x], node[y]))
+                    found.append((comp[x], comp[y]))
                     top[top == top[y]] = top[x]
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
     more = stored(held.groupBy("bucket", "lo", "hi").applyInArrow(compare, link), "links")
-    if not more.isEmpty():
-        comps = components(links.union(more))
+    joined = None if more.isEmpty() else components(more).select(F.col("node").alias("part"), F.col("comp").alias("whole"))
     dropped(members, ranked, seated, pairs, texts, links, some, more)
 
     lead = labelled(nodes.select("node", "first"), comps)
+    if joined is not None:
+        lead = lead.join(joined, lead["comp"] == joined["part"], "left").select("node", "first", F.coalesce("whole", "comp").alias("comp"))
     best = lead.groupBy("comp").agg(F.min("first").alias("best"))
     named = lead.join(best, "comp").select(F.col("node").alias("its"), F.col("best.id").alias("class_id"), F.col("best.mark").alias("class_mark"))
     out = rows.select("id", "mark", "node").join(named, F.col("node") == F.col("its"), "left")

@@ -61,6 +61,39 @@ def test_groups_of_variants(spark):
     assert kept[0].node == "clash"
 
 
+def test_steps_stay_in_proportion(spark, monkeypatch):
+    """No step is dealt out in pieces of few rows, and what blocks find goes through components by component, not by document."""
+    files, asked = {}, []
+
+    def stored(df, name, **how):
+        out = kept(df, name, **how)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    def components(links):
+        asked.append(links.count())
+        return joined(links)
+
+    kept, joined = N.stored, N.components
+    monkeypatch.setattr(N, "stored", stored)
+    monkeypatch.setattr(N, "components", components)
+    texts = [t for s in range(20, 24) for t in variants(s, 120, 20, 240)]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        got = {r.id: r.class_id for r in N.classes(df, chunk=16).collect()}
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert got == brute(docs)
+    assert len(asked) == 2 and asked[1] < asked[0] / 2
+    most = max(4, df.rdd.getNumPartitions())
+    assert {name: n for name, n in files.items() if name != "links" and n > most} == {}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     for weights in ([1.0], [1.0, 2.0, 3.0, 7.0], [0.3, 0.5, 2.5]):
