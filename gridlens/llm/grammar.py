@@ -39,6 +39,7 @@ END_ID = 2
 MIN_COUNT = 3
 _HEAD = struct.Struct("<4sIIQ")
 _HASH_BITS = 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,28 +62,28 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
         chosen = np.zeros(0, np.int64)
         if fresh is not None:
             # what has become frequent since the last full count has a nonterminal of the round before in it
-            if floor == min_count and 64 * len(fresh) < len(seq):
-                seq, edges = _settle(seq, edges, fresh, min_count, named)
-                fresh = None
-                continue
             new = np.zeros(len(seq) + 1, bool)
             new[fresh] = new[fresh - 1] = True
             new[edges] = new[-1] = False
             at = np.flatnonzero(new)
-            chosen = at[_apart(_pairs(seq, at), np.diff(at) == 1, floor)]
-            names, which = np.unique(_pairs(seq, chosen), return_inverse=True)
+            keys = _pairs(seq, at)
+            some = _likely(keys, floor)
+            at = at[some]
+            take, _, names, which = _apart(keys[some], np.diff(at) == 1, floor, floor)
+            chosen = at[take]
         if not len(chosen):
             # while frequent pairs are few, a small table that stays in the cache tells them well enough
-            chosen, names, which, floor = _frequent(seq, edges[:-1], min_count, _HASH_BITS if floor <= 16 else _HASH_BITS - 3)
-        if not len(chosen):
-            break
+            chosen, names, which, floor = _frequent(seq, edges, min_count, _HASH_BITS if floor <= 16 else _HASH_BITS - 3)
+            if floor == min_count:
+                seq, edges = _settle(seq, edges, chosen, min_count, named)
+                break
         seq[chosen] = named(names, which)
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
-        seq = np.compress(keep, seq)
+        seq = seq[keep]
         edges -= np.searchsorted(chosen + 1, edges, side="right")
         # few replacements bring few more: the next level finds them
-        fresh = chosen - np.arange(len(chosen)) if floor == min_count or 64 * len(chosen) > len(seq) else None
+        fresh = chosen - np.arange(len(chosen)) if 1024 * len(chosen) > len(seq) else None
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     sizes = np.ones(base + len(table), np.int64)
     done = base
@@ -97,10 +98,25 @@ def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
 
 
+def _told(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in the order in which they come, and which of them each is; by a hash table, as sorting takes several times as long."""
+    held = pa.array(keys).dictionary_encode()
+    return held.dictionary.to_numpy(), held.indices.to_numpy()
+
+
+def _odd(after: np.ndarray) -> np.ndarray:
+    """Of places that overlap the one before, in order, those to leave: the first of each run, the third and so on."""
+    head = np.ones(len(after), bool)
+    head[1:] = np.diff(after) != 1
+    begin = np.flatnonzero(head)[np.cumsum(head) - 1]
+    return after[(np.arange(len(after)) - begin) % 2 == 0]
+
+
 def _frequent(seq: np.ndarray, edges: np.ndarray, min_count: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Places of pairs that stand at least a quarter as often as the most frequent one, none overlapping; the different pairs and which of them each is; and the least count that was asked for, lower where that gives none.
 
-    Counts are by hash first, which leaves few places to count exactly; no pair begins at ``edges``, where documents end.
+    Where that count is ``min_count``, all places of pairs that may stand so often, overlapping or not, without names. Counts are by hash
+    first, which leaves few places to count exactly; no pair begins at ``edges``, where documents end.
     """
     with np.errstate(over="ignore"):
         slot = seq[:-1] * np.uint32(0x9E3779B1)
@@ -108,83 +124,106 @@ def _frequent(seq: np.ndarray, edges: np.ndarray, min_count: int, bits: int) ->
     slot >>= np.uint32(32 - bits)
     slot = slot.astype(np.int64)
     tally = np.bincount(slot, minlength=1 << bits)
-    np.subtract.at(tally, slot[edges], 1)
+    np.subtract.at(tally, slot[edges[:-1]], 1)
     floor = max(min_count, int(tally.max()) // 4)
     while True:
         some = (tally >= floor)[slot]
-        some[edges] = False
-        near = at = np.flatnonzero(some)
-        names, which, counts = np.unique(_pairs(seq, at), return_inverse=True, return_counts=True)
-        mine = (counts >= floor)[which]
-        at, which = at[mine], which[mine]
-        if len(at):
-            # of overlapping pairs every other one, from the left
-            head = np.concatenate([[True], np.diff(at) != 1])
-            begin = np.flatnonzero(head)[np.cumsum(head) - 1]
-            other = (np.arange(len(at)) - begin) % 2 == 0
-            at, which = at[other], which[other]
-            good = np.bincount(which, minlength=len(names)) >= min_count
-            if good.any():
-                mine = good[which]
-                return at[mine], names[good], (np.cumsum(good) - 1)[which[mine]], floor
+        some[edges[:-1]] = False
+        at = np.flatnonzero(some)
         if floor == min_count:
-            at = near[_apart(_pairs(seq, near), np.diff(near) == 1, min_count)]
-            return at, *np.unique(_pairs(seq, at), return_inverse=True), floor
+            return at, np.zeros(0, np.uint64), np.zeros(0, np.int32), floor
+        take, _, names, which = _apart(_pairs(seq, at), np.diff(at) == 1, floor, min_count)
+        if len(take):
+            return at[take], names, which, floor
         floor = max(min_count, floor // 2)
 
 
-def _apart(keys: np.ndarray, near: np.ndarray, min_count: int) -> np.ndarray:
-    """Of the pairs at some places, in order, which to take: those that stand ``min_count`` times, none overlapping; ``near`` tells where a pair overlaps the next.
+def _likely(keys: np.ndarray, floor: int) -> np.ndarray:
+    """Where many keys are: the places of those that may stand ``floor`` times; most are too rare even if all that share a hash were the same."""
+    if len(keys) < 1 << 12:
+        return np.arange(len(keys))
+    slot = ((keys * _MIX) >> np.uint64(64 - _HASH_BITS + 3)).astype(np.int64)
+    return np.flatnonzero((np.bincount(slot) >= floor)[slot])
+
+
+def _apart(keys: np.ndarray, near: np.ndarray, floor: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs at some places, in order, which to take, none overlapping: those that stand ``floor`` times, and of these those that then have ``min_count`` places; ``near`` tells where a pair overlaps the next.
 
+    Returns which are taken and which stand so often but are not, and of those taken the different pairs, sorted, and which of them each is.
     The more frequent pair goes first, so the most frequent one keeps all its places.
     """
-    out = np.zeros(len(keys), bool)
-    if not len(keys):
-        return out
+    names, which = _told(keys)
     # a pair of equal ids overlaps itself: every other place of a run
-    new = np.concatenate([[True], ~near | (keys[1:] != keys[:-1])])
-    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
-    some = np.flatnonzero((np.arange(len(keys)) - begin) % 2 == 0)
-    _, which, counts = np.unique(keys[some], return_inverse=True, return_counts=True)
-    enough = counts[which] >= min_count
-    some, which = some[enough], which[enough]
-    if not len(some):
-        return out
-    order = np.empty(len(counts), np.int64)
-    order[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
-    rank = order[which]
-    meets = (np.diff(some) == 1) & near[some[:-1]]
-    wins = np.ones(len(some), bool)
-    wins[1:] &= ~meets | (rank[1:] < rank[:-1])
-    wins[:-1] &= ~meets | (rank[:-1] < rank[1:])
-    some, which = some[wins], which[wins]
-    out[some[np.bincount(which, minlength=len(counts))[which] >= min_count]] = True
-    return out
-
-
-def _settle(seq: np.ndarray, edges: np.ndarray, fresh: np.ndarray, min_count: int, named: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Round after round among the neighbours of the last replacements, until none is left; the sequence is a linked list meanwhile, so a round costs no more than it replaces."""
+    single = np.ones(len(keys), bool)
+    single[_odd(np.flatnonzero(near & (which[1:] == which[:-1])) + 1)] = False
+    counts = np.bincount(which[single], minlength=len(names))
+    enough = (counts >= floor)[which]
+    some = np.flatnonzero(enough & single)
+    which = which[some]
+    # of two that overlap the one of lower rank gives way, unless it has lost its own place; equals in no order that a text follows
+    rank = np.empty(len(counts), np.int32)
+    rank[np.lexsort((names * _MIX, -counts))] = np.arange(len(counts), dtype=np.int32)
+    rank = rank[which]
+    won, free = np.zeros(len(some), bool), np.arange(len(some))
+    while len(free):
+        meets = (np.diff(some[free]) == 1) & near[some[free[:-1]]]
+        first = rank[free[1:]] < rank[free[:-1]]
+        wins = np.ones(len(free), bool)
+        wins[1:] &= ~meets | first
+        wins[:-1] &= ~(meets & first)
+        won[free[wins]] = True
+        out = wins.copy()
+        out[1:] |= wins[:-1] & meets
+        out[:-1] |= wins[1:] & meets
+        free = free[~out]
+    some, which = some[won], which[won]
+    good = np.bincount(which, minlength=len(counts)) >= min_count
+    kept = good[which]
+    some, which = some[kept], which[kept]
+    enough[some] = False
+    good = np.flatnonzero(good)
+    order = good[np.argsort(names[good])]
+    to = np.zeros(len(names), np.int32)
+    to[order] = np.arange(len(order), dtype=np.int32)
+    return some, np.flatnonzero(enough), names[order], to[which]
+
+
+def _settle(seq: np.ndarray, edges: np.ndarray, places: np.ndarray, min_count: int, named: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Replaces until no pair stands ``min_count`` times. ``places`` has all those of pairs that do. The sequence is a linked list meanwhile, so a round costs no more than the places it looks at.
+
+    A pair gets its places at once, when the later of its two ids is made, and only loses some from then on. So after each round
+    only neighbours of its replacements are looked at, and when these give nothing more, what stood often enough when it was last counted.
+    """
     n = len(seq)
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    end, gone = np.zeros(n, bool), np.zeros(n, bool)
-    end[edges] = True
-    while len(fresh):
-        at = np.unique(np.concatenate([fresh, before[fresh]]))
-        at = at[at >= 0]
-        at = at[~end[at]]
+    end, gone = np.zeros(n + 1, bool), np.zeros(n, bool)
+    end[edges] = end[-1] = True
+    at, open_, whole = places, [], True
+    while True:
         keys = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[after[at]]
-        take = _apart(keys, after[at[:-1]] == at[1:], min_count)
+        some = _likely(keys, min_count)
+        at = at[some]
+        take, left, names, which = _apart(keys[some], after[at[:-1]] == at[1:], min_count, min_count)
+        open_.append(at[left])
         fresh = at[take]
         if len(fresh):
             lost = after[fresh]
-            seq[fresh] = named(*np.unique(keys[take], return_inverse=True))
+            seq[fresh] = named(names, which)
             end[fresh] = end[lost]
             gone[lost] = True
             after[fresh] = after[lost]
             inner = after[fresh] < n
             before[after[fresh[inner]]] = fresh[inner]
+            at, whole = np.unique(np.concatenate([fresh, before[fresh]])), False
+        elif whole:
+            break
+        else:
+            at, open_, whole = np.unique(np.concatenate(open_)), [], True
+            at = at[~gone[at]]
+        # a place before the first is -1, which stands for the end
+        at = at[~end[at]]
     keep = ~gone
-    return np.compress(keep, seq), np.flatnonzero(np.compress(keep, end))
+    return seq[keep], np.flatnonzero(end[:-1][keep])
 
 
 def expand(seq: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:

@@ -27,6 +27,8 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Eights of bytes up to which spans are hashed many at a time.
 LANES = 16
+#: The first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 _LANE, _LEFT, _RIGHT = U(0x9E3779B97F4A7C15), U(0xA0761D6478BD642F), U(0xD6E8FEB86659FD93)
 
 
@@ -128,8 +130,7 @@ def lanes(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[t
     while len(at):
         left = sizes[at] - 8 * k
         part = view[starts[at] + 8 * k]
-        cut = left < 8
-        part[cut] &= (U(1) << (left[cut].astype(U) * U(8))) - U(1)
+        part &= _FIRST[np.minimum(left, 8)]
         yield at, part
         k += 1
         at = at[left > 8]

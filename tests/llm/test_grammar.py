@@ -46,6 +46,35 @@ def test_goes_on_while_a_pair_pays(docs):
     assert max(seen.values(), default=0) < G.MIN_COUNT
 
 
+def test_counts_whole_shard_once_at_least_count(monkeypatch):
+    """What is left near the end is found among places that stood often enough before, not by counting all of the shard again."""
+    floors, count = [], G._frequent
+
+    def counted(*args):
+        out = count(*args)
+        floors.append(out[3])
+        return out
+
+    monkeypatch.setattr(G, "_frequent", counted)
+    rng = np.random.default_rng(6)
+    passages = [rng.zipf(1.3, 40) % 3000 for _ in range(300)]
+    ids = np.concatenate([*(passages[k] for k in rng.integers(0, 300, 900)), rng.zipf(1.3, 60_000) % 3000]).astype(np.uint32)
+    seq, rules, sizes, _ = G.compress(ids, np.arange(40, len(ids) + 1, 40))
+    assert G.Shard(G.pack(int(ids.max()) + 1, seq, rules, sizes)).all().tolist() == ids.tolist()
+    assert floors.count(G.MIN_COUNT) == 1
+
+
+def test_passages_of_equal_counts_take_few_levels():
+    """Pairs of one passage stand equally often; the passage still becomes one id in about as many levels as doublings."""
+    ids = np.tile(np.arange(4096, dtype=np.uint32), 8)
+    seq, rules, sizes, _ = G.compress(ids, np.arange(4096, len(ids) + 1, 4096))
+    assert len(seq) == 8 and len(rules) == 4095
+    depth = {}
+    for k, (a, b) in enumerate(rules.tolist()):
+        depth[4096 + k] = 1 + max(depth.get(a, 0), depth.get(b, 0))
+    assert max(depth.values()) < 40
+
+
 def test_query(spark, sf, documents):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     start = 0
